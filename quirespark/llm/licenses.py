@@ -55,13 +55,13 @@ def _strings(values: list[str]) -> Column:
 
 def _places(words: Column) -> Column:
     """(start, label) of every base phrase."""
-    found = []
-    for phrase, label in BASE.items():
+    def of(phrase: str, label: str) -> Column:
         parts = phrase.split()
         at = F.filter(F.transform(words, lambda x, i: F.when(x == parts[0], i)), lambda i: i.isNotNull())
         at = F.filter(at, lambda i: F.coalesce(_follows(words, i, parts), F.lit(False)))
-        found.append(F.transform(at, lambda i, label=label: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label"))))
-    return F.concat(*found)
+        return F.transform(at, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
+
+    return F.concat(*[of(*item) for item in BASE.items()])
 
 
 def _follows(words: Column, i: Column, parts: list[str]) -> Column:
@@ -72,7 +72,7 @@ def _follows(words: Column, i: Column, parts: list[str]) -> Column:
 
 
 def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(rows, matches): rows(row, doc_id, n_words, places, blocks) for each row of docs(doc_id, text), matches(row, block, template, label, overlap, size)."""
+    """(rows, matches): rows(row, doc_id, n_words, places, blocks) for each row of docs(doc_id, text), matches(row, block, template, label, shared, size)."""
     sets = [sorted(set(text.split())) for _, text in templates]
     vocabulary = sorted({w for s in sets for w in s})
     low = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(ascii_lower(F.col("text").cast("string")), F.lit("")).alias("low"))
@@ -101,22 +101,20 @@ def license_matches(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATE
     ranked = blocks.where(F.arrays_overlap("words", _strings([order[r - 1] for r in first]))).select("row", "block", F.array_sort(F.transform("words", lambda w: F.array_position(_strings(order), w).cast("int"))).alias("own"))
     met = ranked.select("row", "block", "own", F.posexplode("own").alias("j", "rank")).join(F.broadcast(heads), "rank")  # the templates' prefixes: a fixed, small table
     met = met.where("size(own) >= need and least(i, j) + 1 + least(size - i - 1, size(own) - j - 1) >= need")
-    met = met.withColumn("overlap", F.size(F.array_intersect("own", "ranks"))).where("overlap >= need")
-    return rows, met.select("row", "block", "template", "label", "overlap", "size").distinct()
+    met = met.withColumn("shared", F.array_intersect("own", "ranks")).where("size(shared) >= need")
+    return rows, met.select("row", "block", "template", "label", "shared", "size").distinct()
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of each row of docs(doc_id, text).
 
-    A template whose words another matching template of the block all has gives no label: the longer notice says more.
+    A match gives no label if a better one (of a higher score, or as high with more words) shares all its words with the block.
     """
     rows, matches = license_matches(docs, templates, threshold)
-    sets = [set(text.split()) for _, text in templates]
-    within = {k: [j for j, other in enumerate(sets) if s < other] for k, s in enumerate(sets)}
-    wider = F.create_map(*[x for k, over in within.items() for x in (F.lit(k), F.array(*[F.lit(j) for j in over]).cast("array<int>"))])
-    block = matches.groupBy("row", "block").agg(F.collect_set(F.struct("template", "label", (F.col("overlap") / F.col("size")).alias("score"))).alias("found"))
-    full = F.transform(F.filter("found", lambda x: x["score"] == 1.0), lambda x: x["template"])
-    kept = block.select("row", F.explode(F.filter("found", lambda x: ~F.arrays_overlap(F.element_at(wider, x["template"]), full))).alias("x"))
+    score = (F.size("shared") / F.col("size")).alias("score")
+    block = matches.groupBy("row", "block").agg(F.collect_set(F.struct("label", "shared", score)).alias("found"))  # one for each template at most
+    better = lambda x, y: (F.size(F.array_except(x["shared"], y["shared"])) == 0) & ((y["score"] > x["score"]) | ((y["score"] == x["score"]) & (F.size(y["shared"]) > F.size(x["shared"]))))
+    kept = block.select("row", F.explode(F.filter("found", lambda x: ~F.exists("found", lambda y: better(x, y)))).alias("x"))
     found = kept.groupBy("row").agg(F.collect_set("x.label").alias("more"), F.max("x.score").alias("best"))
     base = F.coalesce(F.transform("places", lambda p: p["label"]), F.array().cast("array<string>"))
     starts = F.transform("places", lambda p: p["start"])

@@ -1,5 +1,7 @@
 """The operators' results in DuckDB SQL, where SQL can express them on whole tables."""
 
+from . import licenses, secrets
+
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 OP3 = rf"""
@@ -39,4 +41,57 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op3_minhash": OP3, "op4_decontaminate": OP4}
+
+def _op1() -> str:
+    templates = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
+    phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in licenses.BASE.items())
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_LOWER}, '') AS low FROM documents),
+w AS (SELECT r, doc_id, regexp_extract_all(low, '{licenses.WORD}') AS w, string_split_regex(low, '\n[\x20\x09\x0B-\x0D]*\n') AS bl FROM d),
+p(label, words) AS (VALUES {phrases}),
+place AS (
+  SELECT r, label, i - 1 AS start FROM (SELECT r, label, words, w, unnest(range(1, len(w) - len(words) + 2)) AS i FROM w, p WHERE len(w) >= len(words)) WHERE w[i:i + len(words) - 1] = words
+),
+base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS bl FROM place GROUP BY 1),
+t(k, label, words) AS (VALUES {templates}),
+blocks AS (SELECT r, i, list_distinct(regexp_extract_all(bl[i], '{licenses.WORD}')) AS b FROM (SELECT r, bl, unnest(range(1, len(bl) + 1)) AS i FROM w)),
+m AS (
+  SELECT r, i, label, list_intersect(words, b) AS shared, len(list_intersect(words, b)) / len(words) AS score FROM blocks, t
+  WHERE len(list_intersect(words, b)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)
+),
+kept AS (
+  SELECT r, label, score FROM m x WHERE NOT EXISTS (
+    SELECT 1 FROM m y WHERE y.r = x.r AND y.i = x.i AND (y.score > x.score OR y.score = x.score AND len(y.shared) > len(x.shared)) AND list_has_all(y.shared, x.shared))
+),
+more AS (SELECT r, list_distinct(list(label)) AS ml, max(score) AS best FROM kept GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  array_to_string(list_sort(coalesce(base.bl, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.bl, []), coalesce(ml, [])))), ',') AS labels,
+  greatest(CASE WHEN n_base > 0 THEN 1.0 ELSE 0.0 END, coalesce(best, 0.0))::DOUBLE AS score
+FROM w LEFT JOIN base USING (r) LEFT JOIN more USING (r)
+"""
+
+
+def _op6() -> str:
+    rules = ", ".join(f"""({k}, '{r.kind}', {r.base}, {r.group}, {r.least})""" for k, r in enumerate(secrets.RULES))
+    quoted = {k: r.pattern.replace("'", "''") for k, r in enumerate(secrets.RULES)}
+    matches = " ".join(f"WHEN {k} THEN regexp_extract_all(t, '{q}')" for k, q in quoted.items())
+    gaps = " ".join(f"WHEN {k} THEN string_split_regex(t, '{q}')" for k, q in quoted.items())
+    own = " ".join(f"WHEN {k} THEN regexp_extract(m, '{quoted[k]}', {r.group})" for k, r in enumerate(secrets.RULES) if r.group)
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+rule(k, kind, base, g, least) AS (VALUES {rules}),
+f AS (SELECT r, k, kind, base, least, CASE k {matches} END AS ms, CASE k {gaps} END AS gs FROM d, rule),
+e AS (SELECT *, unnest(range(1, len(ms) + 1)) AS i FROM f WHERE len(ms) > 0),
+s AS (SELECT r, k, kind, base, least, ms[i] AS m, list_sum(list_transform(gs[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0) AS start FROM e),
+ok AS (SELECT r, k, kind, base, start, kind || ':' || start::BIGINT || ':' || (start + length(m))::BIGINT AS said FROM s WHERE length(CASE k {own} ELSE m END) >= least),
+a AS (
+  SELECT r, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(said, ',' ORDER BY start, k) FILTER (base) AS base, string_agg(said, ',' ORDER BY start, k) AS spans FROM ok GROUP BY 1
+)
+SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (r)
+"""
+
+
+ORACLES: dict[str, str] = {"op1_licenses": _op1(), "op3_minhash": OP3, "op4_decontaminate": OP4, "op6_secrets": _op6()}

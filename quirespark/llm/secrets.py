@@ -37,10 +37,10 @@ RULES = [
     Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", 1, r"[0-9a-f]{24,}", base=True),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]*+(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
-    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}+\.eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}"),
+    Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
 ]
 SPANS = "array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
 
