@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, minhash, rules, secrets, wumanber
+from . import bpe, langid, licenses, minhash, pieces, rules, secrets, wumanber
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -22,6 +22,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(langid.remainder(F.col("doc_id")) == 2, F.lit(False)).alias("held_out")
+    return langid.identify(docs, langid.learn(docs)).select("doc_id", held_out, "lang_pred", "score", "rejected")
+
+
 def op3_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), "contaminated")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.token_counts(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = secrets.scan(table(spark, sf_dir, "documents"))
     base = [r.kind for r in secrets.RULES if r.base]
@@ -53,4 +63,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op3_minhash, op4_decontaminate, op6_secrets, op9_quality, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_language, op3_minhash, op4_decontaminate, op5_token_counts, op6_secrets, op9_quality, op10_bpe)}
