@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, licenses, minhash, pieces, rules, secrets, wumanber
+from . import automatondedup, bpe, langid, licenses, minhash, pieces, rules, secrets, suffixdedup, wumanber
 from .common import table
 from .oracles import ORACLES  # noqa: F401
 
@@ -53,6 +53,14 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *map(count, base), F.sha2(secrets.said(own), 256).alias("base_sha256"), secrets.said(F.col("spans")).alias("spans"))
 
 
+def op7_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
+def op8_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return automatondedup.dedup(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     learned = rules.learn_from(docs, table(spark, sf_dir, "labels"))
@@ -63,4 +71,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer_path(), with_ids=False)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_language, op3_minhash, op4_decontaminate, op5_token_counts, op6_secrets, op9_quality, op10_bpe)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_licenses, op2_language, op3_minhash, op4_decontaminate, op5_token_counts, op6_secrets, op7_suffix_array, op8_substrings, op9_quality, op10_bpe)}
