@@ -72,16 +72,16 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray
     return sa
 
 
-def _rank(names: np.ndarray, reach: int) -> np.ndarray:
-    """The order of the suffixes of names, told by their first `reach` names at least."""
+def _rank(names: np.ndarray) -> np.ndarray:
+    """The order of the suffixes of names."""
     n, k, rank = len(names), 1, names.astype(np.int64)
     while True:
         order = np.argsort(rank, kind="stable")
         ranked = rank[order]
-        if k >= reach or (ranked[1:] > ranked[:-1]).all():
+        if (ranked[1:] > ranked[:-1]).all():
             return order
         second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1 if k < n else 0
+        second[:-k] = rank[k:] + 1
         key = rank * (int(ranked[-1]) + 2) + second
         order = np.argsort(key, kind="stable")
         ranked = key[order]
@@ -90,8 +90,8 @@ def _rank(names: np.ndarray, reach: int) -> np.ndarray:
         k *= 2
 
 
-def suffix_array(text: np.ndarray, reach: int | None = None) -> np.ndarray:
-    """Starts of the suffixes of text in their order; with reach, suffixes that agree in so many symbols may stand in any order.
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """Starts of the suffixes of text in their order.
 
     text: small integers, the last one 0 and the only 0.
     """
@@ -115,7 +115,7 @@ def suffix_array(text: np.ndarray, reach: int | None = None) -> np.ndarray:
     content = vec.span(vec.prefix(vec.mix(t.astype(np.uint64) + np.uint64(1))), order.astype(np.int64), ends[order])
     name = np.empty(n, np.int64)
     name[order] = np.concatenate([[0], np.cumsum(content[1:] != content[:-1])])
-    ranked = _rank(name[lms], len(lms) if reach is None else reach // 2 + 2)
+    ranked = _rank(name[lms])
     return _induce(t, small, lms[ranked], first)
 
 

@@ -35,7 +35,7 @@ def _solver(length: int):
         starts = np.concatenate([[0], ends[:-1]])
         data[ends - 1] = 1
         text = np.append(data, 0)
-        sa = induced.suffix_array(text, length)
+        sa = induced.suffix_array(text)
         common = induced.permuted_common_prefixes(text, sa)
         of = np.concatenate([[0], np.cumsum(n)])
         window = np.full(len(text), -1, np.int64)  # which window starts at a place
