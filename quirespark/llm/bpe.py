@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 
 from . import vec
 
+#: Bytes of text pre-tokenised at once: more repeat within more.
+PRETOKENISED = 2 << 20
 #: Entries of a worker's cache of merged pieces; it starts anew when full.
 CACHE = 200_000
 #: Pieces longer than this are merged one by one.
@@ -296,7 +298,7 @@ def _encode(name: str, with_ids: bool):
         own = encoder(SparkFiles.get(name))
         for batch in batches:
             counts, ids, hashes, decoded = [], [], [], []
-            for lo, hi, data, at in vec.chunks(batch):
+            for lo, hi, data, at in vec.chunks(batch, size=PRETOKENISED):
                 if not len(data):
                     texts, backs, sums, of = [], [], np.zeros(1, np.int64), np.zeros(hi - lo + 1, np.int64)
                 else:

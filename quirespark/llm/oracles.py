@@ -94,4 +94,40 @@ SELECT doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0):
 """
 
 
-ORACLES: dict[str, str] = {"op1_licenses": _op1(), "op3_minhash": OP3, "op4_decontaminate": OP4, "op6_secrets": _op6()}
+OP7 = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + 199]) AS g FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 198)) AS i FROM d)),
+dup AS (SELECT g FROM win GROUP BY 1 HAVING count(*) > 1),
+hit AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM win SEMI JOIN dup USING (g)),
+numbered AS (SELECT doc_id, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM hit),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 199 AS z FROM numbered GROUP BY 1, 2),
+edges AS (
+  SELECT doc_id, z + 1 AS a, coalesce(lead(a) OVER (PARTITION BY doc_id ORDER BY a) - 1, octet_length(b)) AS z, b FROM runs JOIN d USING (doc_id)
+  UNION ALL SELECT doc_id, 1, min(a) - 1, any_value(b) FROM runs JOIN d USING (doc_id) GROUP BY doc_id
+),
+kept AS (SELECT doc_id, sha256(unhex(string_agg(CASE WHEN z >= a THEN hex(b[a:z]) ELSE '' END, '' ORDER BY a))) AS sha FROM edges GROUP BY 1),
+n AS (SELECT doc_id, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, coalesce(sha, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+OP8 = r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d)),
+head AS (SELECT g, min({'d': doc_id, 'i': i}) AS first FROM win GROUP BY 1),
+pos AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM win JOIN head USING (g) WHERE {'d': doc_id, 'i': i} > first),
+words AS (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS k FROM words ANTI JOIN pos USING (doc_id, p) GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n_removed FROM pos GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_licenses": _op1(),
+    "op3_minhash": OP3,
+    "op4_decontaminate": OP4,
+    "op6_secrets": _op6(),
+    "op7_suffix_array": OP7,
+    "op8_substrings": OP8,
+}

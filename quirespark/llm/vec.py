@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is a chunk of its own.
-CHUNK = 2 << 20
+CHUNK = 1 << 19
 
 _all = np.arange(256)
 #: Bytes of words `[^\x20\x09-\x0D]+`.
