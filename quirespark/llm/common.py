@@ -22,11 +22,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: what follows doesn't run df again, and a lost executor loses none of it."""
+def cut(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
+    """Writes df as a table in the shared folder and reads it back: what follows doesn't run df again, and a lost executor loses none of it.
+
+    rebalance: the table is much smaller than what it is made from; AQE chooses the number of its files by size.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -42,7 +45,7 @@ def components(links: DataFrame) -> DataFrame:
     every node hangs directly on the smallest of its component. No group is gathered in a task:
     minima are aggregated before the shuffle, and the join back is one that AQE can split.
     """
-    stars = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    stars = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", True)
     seen = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -50,7 +53,7 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
-        stars = cut(small.distinct(), "stars")
+        stars = cut(small.distinct(), "stars", True)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen:
             break
