@@ -112,7 +112,7 @@ def gaps(parts: DataFrame) -> DataFrame:
 def most_common(value: str, order: str, keys: list[str], rows: DataFrame) -> DataFrame:
     """keys with the value that most rows have, of equal ones the first."""
     counted = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"), F.min(order).alias("_first"))
-    return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_first")).alias(value))
+    return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), "_first", value)).alias(value))
 
 
 def summarize_lines(parts: DataFrame) -> DataFrame:

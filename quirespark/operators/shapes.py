@@ -148,11 +148,11 @@ def classify(paths: DataFrame, pages: DataFrame) -> DataFrame:
     p = p.withColumn("_pts", _distinct_points(F.col("_s.pts"))).withColumn("_k", F.size("_pts"))
     w, h, k = F.col("_w"), F.col("_h"), F.col("_k")
     one, curves, closed = F.col("_n") == 1, F.coalesce(F.col("_s.curves"), F.lit(False)), F.coalesce(F.col("_s.closed"), F.lit(False))
-    square = F.abs(w - h) / F.greatest(w, h) < 0.02
+    square = F.try_divide(F.abs(w - h), F.greatest(w, h)) < 0.02
     axis = F.forall(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.abs(F.get("_pts", i)["x"] - F.get("_pts", (i + 1) % 4)["x"]) <= AXIS) | (F.abs(F.get("_pts", i)["y"] - F.get("_pts", (i + 1) % 4)["y"]) <= AXIS))
     raw = F.col("_s.pts")
     rx, ry, cx, cy = w / 2, h / 2, (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
-    error = F.aggregate(raw, F.lit(0.0), lambda s, q: s + F.abs(F.pow((q["x"] - cx) / rx, F.lit(2.0)) + F.pow((q["y"] - cy) / ry, F.lit(2.0)) - 1)) / F.size(raw)
+    error = F.aggregate(raw, F.lit(0.0), lambda s, q: s + F.abs(F.pow(F.try_divide(q["x"] - cx, rx), F.lit(2.0)) + F.pow(F.try_divide(q["y"] - cy, ry), F.lit(2.0)) - 1)) / F.size(raw)
     ellipse = (rx >= 0.5) & (ry >= 0.5) & (F.size(raw) > 4) & (error < 0.12)
     inset = F.transform(raw, lambda q: F.least(F.abs(q["x"] - F.col("x0")), F.abs(q["x"] - F.col("x1")), F.abs(q["y"] - F.col("y0")), F.abs(q["y"] - F.col("y1"))))
     radius = F.coalesce(F.array_max(F.filter(inset, lambda d: d >= 0.6)), F.lit(0.0))
@@ -171,16 +171,17 @@ def classify(paths: DataFrame, pages: DataFrame) -> DataFrame:
         (one & ~curves & (k == 4), "quadrilateral", 0.75),
         (one & ~curves & k.between(5, 10) & closed, F.concat(k.cast("string"), F.lit("-gon")), 0.7),
         (one & ~curves & ~closed & (k > 3), "polyline", 0.8),
-        (one & curves & (ctrl == 4) & closed & ellipse, F.when(F.abs(w - h) / F.greatest(w, h) < 0.03, "circle").otherwise("ellipse"), 0.85),
+        (one & curves & (ctrl == 4) & closed & ellipse, F.when(F.try_divide(F.abs(w - h), F.greatest(w, h)) < 0.03, "circle").otherwise("ellipse"), 0.85),
         (one & curves & ctrl.between(2, 8) & closed & rounded, "rounded-rectangle", 0.8),
         (one & curves & ~closed, "curve", 0.75),
         (one & curves, "freeform", 0.6),
         (F.col("_n").between(2, 3) & F.forall("subpaths", lambda s: s["is_rect"]), "rectangles", 0.7),
     ]
-    tests = [F.coalesce(test, F.lit(False)) for test, _, _ in kinds]
-    shape = reduce(lambda c, i: c.when(tests[i], kinds[i][1]), range(1, len(kinds)), F.when(tests[0], kinds[0][1])).otherwise("compound")
-    confidence = reduce(lambda c, i: c.when(tests[i], kinds[i][2]), range(1, len(kinds)), F.when(tests[0], kinds[0][2])).otherwise(0.5)
-    return p.withColumn("shape", shape).withColumn("shape_confidence", confidence).withColumn("corner_radius", F.when(F.col("shape") == "rounded-rectangle", radius)).select(*paths.columns, "shape", "shape_confidence", "area", "corner_radius")
+    tried = [F.struct(F.coalesce(test, F.lit(False)).alias("ok"), (shape if isinstance(shape, Column) else F.lit(shape)).alias("shape"), F.lit(confidence).alias("confidence")) for test, shape, confidence in [*kinds, (F.lit(True), "compound", 0.5)]]
+    found = F.get(F.filter(F.array(*tried), lambda x: x["ok"]), F.lit(0))
+    # A generator, past which the optimizer moves no filter: it would evaluate all this once more for each time a filter names the shape.
+    p = p.select(*paths.columns, "area", "_s", "_w", "_h", F.explode(F.array(F.struct(found.alias("c"), radius.alias("r")))).alias("_c"))
+    return p.select(*paths.columns, F.col("_c.c.shape").alias("shape"), F.col("_c.c.confidence").alias("shape_confidence"), "area", F.when(F.col("_c.c.shape") == "rounded-rectangle", F.col("_c.r")).alias("corner_radius"))
 
 
 def background(shapes: DataFrame) -> DataFrame:
@@ -205,15 +206,20 @@ def bar_charts(shapes: DataFrame, pages: DataFrame) -> DataFrame:
     rects = rects.withColumn("bar_width", F.floor(2 * (F.col("x1") - F.col("x0")) + 0.5) / 2).where("bar_width >= 1")
     keys = [*PAGE, "bar_width"]
 
-    def along(axis: str, base: str, length: Column) -> DataFrame:
-        of = rects.withColumn("_base", F.col(base)).withColumn("_len", length).withColumn("_m", F.median("_base").over(Window.partitionBy(*keys)))
-        near = of.where(F.abs(F.col("_base") - F.col("_m")) < 1.5)
-        found = near.groupBy(*keys).agg(F.count("*").alias("n"), F.count_distinct(F.floor(F.col("_len") + 0.5)).alias("_lens"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.min("seq").alias("seq"), F.array_sort(F.collect_list(F.struct("x0", F.col("_len").alias("len"), F.col("fill").alias("color")))).alias("series"))
-        return found.where("n >= 3 and _lens >= 2").drop("_lens").withColumn("guess", F.lit(axis))
+    w = Window.partitionBy(*keys)
+    rects = rects.withColumn("_up", F.abs(F.col("y1") - F.median("y1").over(w)) < 1.5).withColumn("_across", F.abs(F.col("x0") - F.median("x0").over(w)) < 1.5)
 
-    up = along("bars-vertical", "y1", F.col("y1") - F.col("y0"))
-    across = along("bars-horizontal", "x0", F.col("x1") - F.col("x0")).join(up.select(*keys), keys, "left_anti")
-    return up.unionByName(across).withColumn("confidence", F.least(F.lit(0.8), 0.4 + 0.05 * F.col("n")))
+    def along(on: str, length: Column) -> Column:
+        only = lambda c: F.when(F.col(on), c)
+        return F.struct(
+            F.count_if(on).alias("n"), F.count_distinct(only(F.floor(length + 0.5))).alias("lens"), F.min(only(F.col("x0"))).alias("x0"), F.min(only(F.col("y0"))).alias("y0"), F.max(only(F.col("x1"))).alias("x1"), F.max(only(F.col("y1"))).alias("y1"),
+            F.min(only(F.col("seq"))).alias("seq"), F.array_sort(F.collect_list(only(F.struct("x0", length.alias("len"), F.col("fill").alias("color"))))).alias("series"),
+        )
+
+    both = rects.groupBy(*keys).agg(along("_up", F.col("y1") - F.col("y0")).alias("_u"), along("_across", F.col("x1") - F.col("x0")).alias("_a"))
+    fits = lambda s: (F.col(f"{s}.n") >= 3) & (F.col(f"{s}.lens") >= 2)
+    best = both.where(fits("_u") | fits("_a")).select(*keys, F.when(fits("_u"), "bars-vertical").otherwise("bars-horizontal").alias("guess"), F.when(fits("_u"), F.col("_u")).otherwise(F.col("_a")).alias("_s"))
+    return best.select(*keys, "guess", *[F.col(f"_s.{c}").alias(c) for c in ("n", "x0", "y0", "x1", "y1", "seq", "series")], F.least(F.lit(0.8), 0.4 + 0.05 * F.col("_s.n")).alias("confidence"))
 
 
 def pie_charts(shapes: DataFrame) -> DataFrame:

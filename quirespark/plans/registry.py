@@ -120,7 +120,7 @@ def a4_line_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _line_summary(spark, sf_dir).select("doc_id", "page_no", "line_id", "text", "x0", "x1", G.round_half_up("top", 3).alias("top"), G.round_half_up("bottom", 3).alias("bottom"), "size", "max_size", "n_sizes", "bold", "all_bold", "seq", "n_parts")
 
 
-@query(f"""SELECT doc_id, page_no, line_id, color FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_id ORDER BY n DESC, f) AS p
+@query(f"""SELECT doc_id, page_no, line_id, color FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no, line_id ORDER BY n DESC, f, color) AS p
   FROM (SELECT doc_id, page_no, line_id, color, count(*) AS n, min(x0) AS f FROM {_LINES} GROUP BY 1, 2, 3, 4)) WHERE p = 1""")
 def m10_most_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.most_common("color", "x0", ["doc_id", "page_no", "line_id"], layout.assign_lines(_visible(spark, sf_dir)))
@@ -349,7 +349,7 @@ def j12_paths_without_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- scalars over given columns ---------------------------------------------------------------
 
 
-@query("SELECT p_partkey, floor(p_retailprice * 2.54 / 72 * 100 + 0.5) / 100 AS cm, floor(p_retailprice / 72 * 1000 + 0.5) / 1000 AS inch, floor(p_retailprice * 10 + 0.5) / 10 AS pt, floor(p_retailprice * 12700 + 0.5) AS emu FROM part")
+@query("SELECT p_partkey, floor(p_retailprice * (254e-2 / 72e0) * 100 + 0.5) / 100 AS cm, floor(p_retailprice * (1e0 / 72e0) * 1000 + 0.5) / 1000 AS inch, floor(p_retailprice * 10 + 0.5) / 10 AS pt, floor(p_retailprice * 12700 + 0.5) AS emu FROM part")
 def m8_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     return part.select("p_partkey", *[G.to_unit("p_retailprice", u).alias(n) for u, n in (("cm", "cm"), ("in", "inch"), ("pt", "pt"), ("emu", "emu"))])

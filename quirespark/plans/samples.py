@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_AT = "l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, l_orderkey * 10 + l_linenumber AS seq"
+_AT = "l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, ((l_partkey * 1000000 + l_orderkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq"
 TEXTS = f"""SELECT {_AT}, 'text' AS kind, CAST(l_quantity AS DOUBLE) * 10 AS x0, CAST((l_orderkey * 7) % 70 AS DOUBLE) * 10 + 40 AS y0,
   CAST(l_quantity AS DOUBLE) * 10 + 15 + l_partkey % 40 AS x1, CAST((l_orderkey * 7) % 70 AS DOUBLE) * 10 + 43 AS y1, CAST(8 + l_linenumber % 4 AS DOUBLE) AS size,
   CASE WHEN l_orderkey % 37 = 0 THEN 90e0 ELSE 0e0 END AS rot, l_orderkey % 29 = 0 AS hidden, l_orderkey % 31 = 0 AS invisible,
@@ -25,7 +25,7 @@ PAGES = "SELECT DISTINCT l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, 612e
 BLOCKS = """SELECT doc_id, page_no, n AS block_id, CASE WHEN n % 2 = 0 THEN 50e0 ELSE 330e0 END AS x0, CASE WHEN n % 2 = 0 THEN 260e0 ELSE 560e0 END + doc_id % 3 AS x1,
   CASE WHEN n = 0 THEN 30e0 WHEN n = 1 THEN 740e0 ELSE 100e0 + 20 * n END AS top, CASE WHEN n = 0 THEN 42e0 WHEN n = 1 THEN 752e0 ELSE 115e0 + 20 * n END AS bottom, 10e0 AS size, n AS seq,
   CASE WHEN n = 0 THEN 'Report of supplier  ' || doc_id || ' part ' || page_no WHEN n = 1 THEN '- ' || page_no || ' -' ELSE 'Body ' || seq0 END AS text
-  FROM (SELECT l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, l_orderkey * 10 + l_linenumber AS seq0, ROW_NUMBER() OVER (PARTITION BY l_suppkey, 1 + l_partkey % 6 ORDER BY l_orderkey, l_linenumber) - 1 AS n FROM {lineitem}) AS b WHERE n < 30"""
+  FROM (SELECT l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, ((l_partkey * 1000000 + l_orderkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq0, ROW_NUMBER() OVER (PARTITION BY l_suppkey, 1 + l_partkey % 6 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS n FROM {lineitem}) AS b WHERE n < 30"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 
