@@ -15,48 +15,34 @@ from quirespark.llm.common import cut, table
 from quirespark.llm.registry import tokenizer_path
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with a fixed number for each row, so that decisions join back to rows whatever their doc_id."""
-    return cut(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-
-
-def _by_row(keyed: DataFrame) -> DataFrame:
-    return keyed.select(F.col("__row").alias("doc_id"), "text")
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Those documents whose language is identified; texts that are null, have no letter or score below calibration go."""
-    keyed = _keyed(docs)
-    found = langid.identify(_by_row(keyed), langid.learn(docs))
-    gone = found.where("rejected").select(F.col("doc_id").alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
+    return langid.identified(docs, langid.learn(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest doc_id (of rows with one doc_id, one)."""
-    keyed = _keyed(docs)
-    found = minhash.near_duplicates(keyed.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    kept = keyed.join(found, "doc_id", "left_anti")
-    again = kept.where("doc_id is not null").groupBy("doc_id").agg(F.min("__row").alias("first"), F.count("*").alias("n")).where("n > 1")
-    extra = kept.join(again, "doc_id").where("__row > first").select("__row")
-    return kept.join(extra, "__row", "left_anti").select(docs.columns)
+    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    if again.isEmpty():
+        return kept.select(docs.columns)
+    return kept.join(again, "doc_id", "left_anti").select(docs.columns).unionByName(kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Those documents that aren't contaminated by the benchmark."""
-    keyed = _keyed(docs)
-    found = wumanber.contamination(_by_row(keyed), table(spark, sf_dir, "benchmark"))
-    gone = found.where("contaminated").select(F.col("doc_id").alias("__row"))
-    return keyed.join(gone, "__row", "left_anti").select(docs.columns)
+    found = wumanber.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where("not contaminated").select("kept.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced."""
-    keyed = _keyed(docs)
-    findings, _ = secrets.scan(_by_row(keyed))
-    spans = findings.where(F.size("spans") > 0).select(F.col("doc_id").alias("__row"), "spans")
-    joined = keyed.join(spans, "__row", "left")
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("spans")))
+    findings, _ = secrets.scan(docs)
+    hits = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("__spans")).withColumnRenamed("blob", "__blob")
+    addressed = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
+    joined = addressed.join(hits.hint("shuffle_hash"), "__blob", "left")
+    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("__spans")))
     return joined.withColumn("text", text).select(docs.columns)
 
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vec
 
@@ -136,7 +137,8 @@ def _predict(shared: Broadcast):
                 langs.append(model.languages[k])
                 scores.append(float(p[k]))
                 rejected.append(bool(p[k] < model.threshold))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
+            found = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], *found], [batch.schema.names[0], *batch.schema.names[2:], "lang_pred", "score", "rejected"])
 
     return predict
 
@@ -161,3 +163,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return texts.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
+
+
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, as they are, that identify() doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    tagged = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    kept = tagged.mapInArrow(_predict(shared), T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("row", tagged.schema["row"].dataType), *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields]))
+    return kept.where("not rejected").select("row.*")

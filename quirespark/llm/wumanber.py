@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import vec
 from .common import cut
@@ -128,8 +129,9 @@ def _search(shard: Broadcast, window: int, keep_text: bool):
         searched = tables(shard.value, window)
         for batch in batches:
             n_words: list[int] = []
-            spans: list[list[list[int]]] = batch.column(2).to_pylist() if batch.num_columns > 2 else [[] for _ in range(batch.num_rows)]
-            found: list[set[int]] = [set(x) for x in batch.column(3).to_pylist()] if batch.num_columns > 2 else [set() for _ in range(batch.num_rows)]
+            held = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            spans: list[list[list[int]]] = held["spans"].to_pylist() if "spans" in held else [[] for _ in range(batch.num_rows)]
+            found: list[set[int]] = [set(x) for x in held["items"].to_pylist()] if "items" in held else [set() for _ in range(batch.num_rows)]
             for lo, hi, data, at in vec.chunks(batch):
                 lower = vec.LOWER[data]
                 start, end, of = vec.words(lower, at, vec.ALNUM)
@@ -152,12 +154,9 @@ def _search(shard: Broadcast, window: int, keep_text: bool):
                 n_words += np.diff(of).tolist()
                 for row, own in enumerate(runs):
                     spans[lo + row] += own
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.int64())), pa.array(n_words, pa.int64())]
-                if keep_text
-                else [batch.column(0), pa.array(n_words, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array([sorted(x) for x in found], pa.list_(pa.int64()))],
-                ["doc_id", "text", "spans", "items", "n_words"] if keep_text else ["doc_id", "n_words", "spans", "items"],
-            )
+            longs = pa.list_(pa.int64())
+            out = {"doc_id": held["doc_id"], "kept": held["kept"], **({"text": held["text"]} if keep_text else {}), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(longs)), "items": pa.array([sorted(x) for x in found], longs)}
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
 
     return search
 
@@ -175,17 +174,20 @@ def _shard(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, str]]:
     return [(r.item_id, r.text) for r in _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, spans (runs of hit words, [start, end) from 0) and items (ids, sorted) of each row of docs(doc_id, text)."""
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, spans (runs of hit words, [start, end) from 0), items (ids, sorted), n_hit, contaminated and kept, a struct of the columns
+    named in keep, of each row of docs(doc_id, text)."""
     spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    out, n = texts, _shard_count(benchmark)
+    kept = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), kept.alias("kept"))
+    of = {f.name: f for f in out.schema.fields} | {f.name: f for f in T._parse_datatype_string("n_words long, spans array<array<bigint>>, items array<bigint>").fields}
+    n = _shard_count(benchmark)
     for k in range(n):  # each row's findings grow from shard to shard
-        search = _search(spark.sparkContext.broadcast(_shard(benchmark, k, n)), window, k < n - 1)
-        if k < n - 1:
-            out = cut(out.mapInArrow(search, "doc_id long, text string, spans array<array<bigint>>, items array<bigint>, n_words long"), "shard").drop("n_words")
-        else:
-            out = out.mapInArrow(search, "doc_id long, n_words long, spans array<array<bigint>>, items array<bigint>")
+        last = k == n - 1
+        search = _search(spark.sparkContext.broadcast(_shard(benchmark, k, n)), window, not last)
+        out = out.mapInArrow(search, T.StructType([of[c] for c in ("doc_id", "kept", *(() if last else ("text",)), "n_words", "spans", "items")]))
+        if not last:
+            out = cut(out, "shard").drop("n_words")
     joined = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
