@@ -28,7 +28,7 @@ from . import anchors, vec
 from .common import cut
 
 #: Symbols of a shard that a solver gets at once.
-SHARD = 2_000_000
+SHARD = 1_000_000
 #: Contexts of an anchor beyond which its windows are counted one by one.
 HOT = 20_000
 NO_ID = -(2**63)
@@ -124,28 +124,29 @@ def _free() -> None:
 def spans(docs: DataFrame, kind: Kind, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, h, spans): for each row of keyed(docs) with any, the ranges [start, end) of windows (by their first symbol) that go."""
     texts = keyed(docs)
-    runs = cut(texts.select("id", "h", "text").mapInArrow(_runs(kind), "id long, h long, lo int, n int, fp long, ctx long"), "runs")
-    again = cut(runs.groupBy("fp").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1").select("fp", "mixed"), "again")
-    _free()
+    runs = texts.select("id", "h", "text").mapInArrow(_runs(kind), "id long, h long, lo int, n int, fp long, ctx long")
+    again = runs.groupBy("fp").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1").select("fp", "mixed")
     runs = cut(runs.join(again, "fp"), "repeated")
     _free()
     first = F.min(F.struct("id", "lo", "h", "n")).alias("first")
     classes = cut(runs.groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.first("mixed").alias("mixed"), first), "classes")
     open_ = classes.where("mixed")
-    big = cut(open_.groupBy("fp").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("fp"), "hot")
+    total = open_.agg(F.coalesce(F.sum(F.col("first.n") + kind.window), F.lit(0))).first()[0]
+    shards = 1 + total // shard
     wanted = open_.select("first.id", "first.h", F.struct("first.lo", "first.n", "fp", "ctx").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))  # runs of one text
     fetched = texts.select("id", "h", "text").join(wanted.hint("shuffle_hash"), ["id", "h"])
-    contexts = cut(fetched.mapInArrow(_fetch(kind), "id long, h long, lo int, n int, fp long, ctx long, symbols binary"), "contexts")
-    _free()
-    total = contexts.agg(F.coalesce(F.sum(F.col("n") + kind.window), F.lit(0))).first()[0]
-    shards = 1 + total // shard
-    small = contexts.join(big, "fp", "left_anti").withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards)))
-    solved = small.groupBy("shard").applyInArrow(kind.solve, "fp long, ctx long, own array<struct<a:int,b:int>>")
-    windows = contexts.join(big, "fp", "left_semi").mapInArrow(_windows(kind), "fp long, ctx long, id long, start long, i long, content long")
-    counted = windows.groupBy("fp", "content").agg(F.count_distinct("ctx").alias("c"), F.min(F.struct("id", "start")).alias("first"))
-    gone = windows.join(counted, ["fp", "content"]).where(F.expr("first.id < id or first.start < start") if kind.first_stays else F.expr("c > 1"))
-    solved = solved.unionByName(gone.groupBy("fp", "ctx").agg(F.array_sort(F.collect_set(F.struct(F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b")))).alias("own")))  # windows of one run
-    solved = cut(solved, "solved")
+    contexts = fetched.mapInArrow(_fetch(kind), "id long, h long, lo int, n int, fp long, ctx long, symbols binary")
+    big = open_.groupBy("fp").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("fp")
+    if not big.isEmpty():
+        contexts, big = cut(contexts, "contexts"), cut(big, "hot", True)
+    small = contexts if big.isEmpty() else contexts.join(big, "fp", "left_anti")
+    solved = small.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(kind.solve, "fp long, ctx long, own array<struct<a:int,b:int>>")
+    if small is not contexts:
+        windows = contexts.join(big, "fp", "left_semi").mapInArrow(_windows(kind), "fp long, ctx long, id long, start long, i long, content long")
+        counted = windows.groupBy("fp", "content").agg(F.count_distinct("ctx").alias("c"), F.min(F.struct("id", "start")).alias("first"))
+        gone = windows.join(counted, ["fp", "content"]).where(F.expr("first.id < id or first.start < start") if kind.first_stays else F.expr("c > 1"))
+        solved = solved.unionByName(gone.groupBy("fp", "ctx").agg(F.array_sort(F.collect_set(F.struct(F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b")))).alias("own")))  # windows of one run
+    solved = cut(solved.where(F.size("own") > 0), "solved")
     _free()
     verdicts = classes.join(solved, ["fp", "ctx"], "left").where("c > 1 or own is not null").select("fp", "ctx", "c", F.col("first.id").alias("id0"), F.col("first.lo").alias("lo0"), "own")
     whole: Column = F.expr("id0 <> id or lo0 <> lo") if kind.first_stays else F.expr("c > 1")
