@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,7 +19,6 @@ ELEMENTS = f"""doc_id string, page_no int, seq long, kind string, x0 double, y0
   text string, size double, rot double, font string, bold boolean, italic boolean, color string, alpha double, bad int, font_top double, font_bottom double,
   subpaths {POINTS}, fill string, stroke string, pattern {PATTERN}, line_width double, dash boolean, fill_alpha double, stroke_alpha double, blend string, soft_mask boolean,
   pix_w int, pix_h int, format string, mask boolean, resource string, annotation string, w double, h double, level int, name string"""
-COLUMNS = [c.split()[0] for c in __import__("re").sub(r"<[^<>]*(?:<[^<>]*(?:<[^<>]*>[^<>]*)*>[^<>]*)*>", "", ELEMENTS).replace("\n", " ").split(",")]
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
@@ -60,14 +60,17 @@ def _batched(rows: Iterator[dict], size: int = 5000) -> Iterator[pd.DataFrame]:
     for row in rows:
         held.append(row)
         if len(held) == size:
-            yield _frame(held)
+            yield frame(held, ELEMENTS)
             held = []
     if held:
-        yield _frame(held)
+        yield frame(held, ELEMENTS)
 
 
-def _frame(rows: list[dict]) -> pd.DataFrame:
-    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in COLUMNS})
+def frame(rows: list[dict], schema: str) -> pd.DataFrame:
+    """rows with the columns of a schema's text; what a row lacks is null."""
+    while "<" in schema:
+        schema = re.sub(r"<[^<>]*>", "", schema)
+    return pd.DataFrame({c: pd.Series([r.get(c) for r in rows], dtype=object) for c in (part.split()[0] for part in schema.split(","))})
 
 
 def pdf_elements(files: DataFrame, annotations: bool = True) -> DataFrame:
