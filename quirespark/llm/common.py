@@ -26,13 +26,27 @@ def cut(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: what follows doesn't run df again, and a lost executor loses none of it.
 
     rebalance: the table is much smaller than what it is made from; AQE chooses the number of its files by size.
+    It has four files for each core at most, or a sixteenth of the shuffle partitions: a task then takes several of these, one after the other.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    (df.hint("rebalance") if rebalance else df).write.parquet(path)
+    files = max(8, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
+    (df.hint("rebalance") if rebalance else df).coalesce(files).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Most rows of an Arrow batch: texts are long, and a batch is held by the executor and by its Python worker.
+BATCH = 1000
+
+
+def map_arrow(df: DataFrame, f, schema) -> DataFrame:
+    """df.mapInArrow(f, schema) in small batches."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, BATCH)
+    return df.mapInArrow(f, schema)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

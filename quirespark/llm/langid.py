@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
+from .common import map_arrow
 
 UNKNOWN = "und"
 #: Most examples of a language, and most languages; both bound what the driver gets.
@@ -162,7 +163,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(_predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_arrow(texts, _predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def identified(docs: DataFrame, model: Model) -> DataFrame:
@@ -170,5 +171,5 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     tagged = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"), row)
-    kept = tagged.mapInArrow(_predict(shared), T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("row", tagged.schema["row"].dataType), *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields]))
+    kept = map_arrow(tagged, _predict(shared), T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("row", tagged.schema["row"].dataType), *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields]))
     return kept.where("not rejected").select("row.*")

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, vec
-from .common import cut
+from .common import cut, map_arrow
 
 #: Symbols of a shard that a solver gets at once.
 SHARD = 1_000_000
@@ -124,7 +124,7 @@ def _free() -> None:
 def spans(docs: DataFrame, kind: Kind, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(id, h, spans): for each row of keyed(docs) with any, the ranges [start, end) of windows (by their first symbol) that go."""
     texts = keyed(docs)
-    runs = texts.select("id", "h", "text").mapInArrow(_runs(kind), "id long, h long, lo int, n int, fp long, ctx long")
+    runs = map_arrow(texts.select("id", "h", "text"), _runs(kind), "id long, h long, lo int, n int, fp long, ctx long")
     again = runs.groupBy("fp").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1").select("fp", "mixed")
     runs = cut(runs.join(again, "fp"), "repeated")
     _free()
@@ -135,7 +135,7 @@ def spans(docs: DataFrame, kind: Kind, shard: int = SHARD, hot: int = HOT) -> Da
     shards = 1 + total // shard
     wanted = open_.select("first.id", "first.h", F.struct("first.lo", "first.n", "fp", "ctx").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))  # runs of one text
     fetched = texts.select("id", "h", "text").join(wanted.hint("shuffle_hash"), ["id", "h"])
-    contexts = fetched.mapInArrow(_fetch(kind), "id long, h long, lo int, n int, fp long, ctx long, symbols binary")
+    contexts = map_arrow(fetched, _fetch(kind), "id long, h long, lo int, n int, fp long, ctx long, symbols binary")
     big = open_.groupBy("fp").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("fp")
     if not big.isEmpty():
         contexts, big = cut(contexts, "contexts"), cut(big, "hot", True)
@@ -182,7 +182,7 @@ def applied(docs: DataFrame, kind: Kind, act: Callable, schema: str, **sizes: in
                 gone.append(removed(ranges, kind.window))
             yield act(batch, gone)
 
-    return joined.mapInArrow(run, schema)
+    return map_arrow(joined, run, schema)
 
 
 def marks(starts: np.ndarray, of: np.ndarray) -> list[list[dict[str, int]]]:

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import vec
-from .common import cut
+from .common import cut, map_arrow
 
 WINDOW = 13
 #: Text of a benchmark shard that is sent to every executor; a larger benchmark is searched for shard by shard.
@@ -185,7 +185,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     for k in range(n):  # each row's findings grow from shard to shard
         last = k == n - 1
         search = _search(spark.sparkContext.broadcast(_shard(benchmark, k, n)), window, not last)
-        out = out.mapInArrow(search, T.StructType([of[c] for c in ("doc_id", "kept", *(() if last else ("text",)), "n_words", "spans", "items")]))
+        out = map_arrow(out, search, T.StructType([of[c] for c in ("doc_id", "kept", *(() if last else ("text",)), "n_words", "spans", "items")]))
         if not last:
             out = cut(out, "shard").drop("n_words")
     joined = F.aggregate(
