@@ -429,3 +429,90 @@ def w15_section_state(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return carried(c, ["conv_id"], "turn", {"section": F.when(F.col("role") == "user", F.col("turn"))}).select("conv_id", "turn", "role", "section")
+
+
+# -- more scalars, over values derived from keys ----------------------------------------------
+
+
+@query("SELECT conv_id, turn, 'last' || turn AS a, 'x' || role || ' more' AS b, 'text/html' AS mime, 'utf-8' AS charset FROM conversations")
+def c22_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    block = F.concat(F.lit("A: first\r\nB: x"), "role", F.lit("\r\n\tmore\r\nno header\r\nContent-Type: Text/HTML; charset=\"UTF-8\"\r\na: last"), F.col("turn").cast("string"))
+    h = c.select("conv_id", "turn", X.headers(block).alias("h"))
+    return h.select("conv_id", "turn", F.element_at("h", "a").alias("a"), F.element_at("h", "b").alias("b"), X.mime_type("h").alias("mime"), X.charset(F.element_at("h", "content-type")).alias("charset"))
+
+
+@query("""SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'Arial' WHEN 1 THEN 'Times New Roman' WHEN 2 THEN 'Courier New' WHEN 3 THEN 'SimSun' WHEN 4 THEN 'Foo-Bold' ELSE 'Calibri' END AS font,
+  p_partkey % 6 IN (1, 4) OR p_size >= 48 AS bold, p_partkey % 6 = 5 AS italic FROM part""")
+def c30_fonts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["ABCDEF+ArialMT", "TimesNewRomanPS-BoldMT", "Courier New", "SimSun", "Foo-Bold", "Calibri-Italic"]
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size", F.get(F.array(*map(F.lit, names)), (F.col("p_partkey") % 6).cast("int")).alias("raw"))
+    return p.select("p_partkey", X.font_name("raw").alias("font"), X.is_bold("raw", F.col("p_size") * 12.5).alias("bold"), X.is_italic("raw").alias("italic"))
+
+
+@query("SELECT s_suppkey, CASE s_suppkey % 5 WHEN 0 THEN 'slides' WHEN 1 THEN 'document' WHEN 2 THEN 'latex' WHEN 3 THEN 'scan' END AS origin, CASE WHEN s_suppkey % 2 = 0 THEN 'Segoe UI' ELSE 'Arial' END AS font FROM supplier")
+def d13_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda *v: F.get(F.array(*map(F.lit, v)), (F.col("s_suppkey") % len(v)).cast("int"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
+    return s.select("s_suppkey", X.origin(pick("Microsoft PowerPoint", "Writer", "TeX", "Office", "x"), pick("", "WPS", "pdfTeX-1.40", "HP Scanner", "y")).alias("origin"), X.first_font(pick("serif, 'Segoe UI', Arial", "Arial, sans-serif")).alias("font"))
+
+
+@query("""SELECT p_partkey, floor((1 - c) * (1 - k) * 1e6 + 0.5) / 1e6 AS cmyk_r, floor(h * 1e6 + 0.5) / 1e6 AS h, floor(s * 1e6 + 0.5) / 1e6 AS s, floor(l * 1e6 + 0.5) / 1e6 AS l
+  FROM (SELECT p_partkey, (p_partkey % 11) / 10e0 AS c, (p_size % 7) / 10e0 AS k, (p_partkey % 97) / 97e0 AS h, 0.1e0 + (p_size % 8) / 10e0 AS s, 0.1e0 + (p_partkey % 8) / 10e0 AS l FROM part)""")
+def m2_color_spaces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    key, size = F.col("p_partkey"), F.col("p_size")
+    back = G.rgb_hsl(*G.hsl_rgb((key % 97) / 97.0, 0.1 + (size % 8) / 10.0, 0.1 + (key % 8) / 10.0))
+    r = lambda c, n: G.round_half_up(c, 6).alias(n)
+    return p.select("p_partkey", r(G.cmyk_rgb((key % 11) / 10.0, F.lit(0.0), F.lit(0.0), (size % 7) / 10.0)[0], "cmyk_r"), *[r(c, n) for c, n in zip(back, ("h", "s", "l"), strict=True)])
+
+
+@query(f"""SELECT a.doc_id, a.page_no, count(*) AS n, sum((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0))) AS shared FROM {_R} AS a JOIN {_R} AS b ON a.doc_id = b.doc_id AND a.page_no = b.page_no AND a.y0 = b.y0 AND a.seq < b.seq
+  WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) GROUP BY 1, 2""")
+def m6_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = load(spark, sf_dir, RECTS)
+    other = r.select("doc_id", "page_no", "y0", *[F.col(c).alias(f"o_{c}") for c in ("seq", "x0", "x1", "y1")])
+    both = r.join(other, ["doc_id", "page_no", "y0"]).where("seq < o_seq").withColumn("shared", G.overlap(("x0", "y0", "x1", "y1"), ("o_x0", "y0", "o_x1", "o_y1"))).where("shared > 0")
+    return both.groupBy("doc_id", "page_no").agg(F.count("*").alias("n"), F.sum("shared").alias("shared"))
+
+
+@query("""SELECT s_suppkey, CASE WHEN r IN (0, 180) THEN 612 ELSE 792 END::DOUBLE AS w, CASE WHEN r IN (0, 180) THEN 792 ELSE 612 END::DOUBLE AS h,
+  CASE r WHEN 0 THEN x WHEN 90 THEN y WHEN 180 THEN 612 - x ELSE 792 - y END::DOUBLE AS px, CASE r WHEN 0 THEN 792 - y WHEN 90 THEN x WHEN 180 THEN y ELSE 612 - x END::DOUBLE AS py FROM (SELECT s_suppkey, (s_suppkey % 4) * 90 AS r, s_suppkey % 600 AS x, s_suppkey * 7 % 700 AS y FROM supplier)""")
+def r1_page_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", (F.col("s_suppkey") % 4 * 90).cast("int").alias("rot"), (F.col("s_suppkey") % 600).cast("double").alias("x"), (F.col("s_suppkey") * 7 % 700).cast("double").alias("y"))
+    m, w, h = G.page_matrix(F.lit(0.0), F.lit(0.0), F.lit(612.0), F.lit(792.0), "rot")
+    px, py = G.apply_to(F.col("m"), "x", "y")
+    return s.withColumn("m", m).select("s_suppkey", w.alias("w"), h.alias("h"), px.alias("px"), py.alias("py"))
+
+
+@query("SELECT page_id, md5(html) AS html_md5, md5(html) AS base64_md5, md5(url) AS hex_md5 FROM pages")
+def c26_round_trips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    b64 = F.concat(F.lit("!!"), F.base64(F.encode("html", "UTF-8")), F.lit(" -"))
+    return p.select("page_id", F.md5(X.unescape(X.escape("html"))).alias("html_md5"), F.md5(X.lenient_base64(b64)).alias("base64_md5"), F.md5(X.ascii_hex(F.concat(F.lit(" "), F.hex(F.encode("url", "UTF-8")), F.lit(">zz")))).alias("hex_md5"))
+
+
+@query("SELECT page_id % 10 AS doc_id, page_id, url, CASE WHEN page_id % 4 = 0 THEN 'data:x' || page_id END AS data_url, CASE WHEN page_id % 4 = 0 THEN 'resolved' WHEN regexp_matches(lower(url), '^(https?:|//)') THEN 'blocked' ELSE 'missing' END AS status FROM pages")
+def j9_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet").withColumn("doc_id", F.col("page_id") % 10).withColumn("url", F.concat("url", F.lit("?p="), F.col("page_id").cast("string")))
+    own = F.when(F.col("page_id") % 8 == 0, F.col("url")).otherwise(F.concat(F.lit("cid:"), "url"))
+    assets = p.where("page_id % 4 = 0").select("doc_id", own.alias("key"), F.concat(F.lit("data:x"), F.col("page_id").cast("string")).alias("data_url"))
+    found = html.resolve(p.select("doc_id", "page_id", "url"), assets)
+    return found.withColumn("url", F.regexp_replace("url", r"\?p=\d+$", ""))
+
+
+@query("""WITH c AS (SELECT l_suppkey AS doc_id, l_orderkey AS table_id, l_linenumber % 3 AS r, l_returnflag = 'R' AS th, l_linestatus = 'F' AS b FROM lineitem),
+n AS (SELECT doc_id, table_id, count(*) AS n_rows, max(n) AS n_cols FROM (SELECT doc_id, table_id, r, count(*) AS n FROM c GROUP BY 1, 2, 3) GROUP BY 1, 2),
+s AS (SELECT doc_id, table_id, bool_or(th) AS th, avg(b::INT) AS b FROM c GROUP BY 1, 2),
+f AS (SELECT doc_id, table_id, n_rows, n_cols, CASE WHEN n_rows < 2 OR n_cols < 2 THEN 0 WHEN th THEN 0.9 WHEN b > 0.5 THEN 0.8 WHEN n_rows >= 3 THEN 0.6 ELSE 0 END AS confidence FROM n JOIN s USING (doc_id, table_id))
+SELECT doc_id, table_id, n_rows, n_cols, confidence > 0 AS is_data, confidence FROM f""")
+def a14_html_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(F.col("l_suppkey").alias("doc_id"), F.col("l_orderkey").alias("table_id"), (F.col("l_linenumber") % 3).alias("row"), F.lit("x").alias("text"), (F.col("l_returnflag") == "R").alias("is_header"), (F.col("l_linestatus") == "F").alias("bordered"), F.lit(False).alias("nested"))
+    return html.classify_tables(c)
+
+
+@query(f"""SELECT doc_id, page_no, color, n, n_more FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, page_no ORDER BY n DESC, color) AS p, count(*) OVER (PARTITION BY doc_id, page_no) - 2 AS n_more FROM (SELECT doc_id, page_no, color || size AS color, count(*) AS n FROM {_T} GROUP BY 1, 2, 3)) WHERE p <= 2""")
+def l3_display_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    page = Window.partitionBy("doc_id", "page_no")
+    t = load(spark, sf_dir, TEXTS).groupBy("doc_id", "page_no", F.concat("color", F.col("size").cast("string")).alias("color")).agg(F.count("*").alias("n"))
+    return t.withColumn("n_more", F.count("*").over(page) - 2).withColumn("p", F.row_number().over(page.orderBy(F.desc("n"), "color"))).where("p <= 2").drop("p")
