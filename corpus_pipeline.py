@@ -39,11 +39,12 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced."""
     findings, _ = secrets.scan(docs)
-    hits = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("__spans")).withColumnRenamed("blob", "__blob")
-    addressed = docs.withColumn("__blob", F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)))
-    joined = addressed.join(hits.hint("shuffle_hash"), "__blob", "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(secrets.masked(F.col("text"), F.col("__spans")))
-    return joined.withColumn("text", text).select(docs.columns)
+    hits = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(row, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("blob"))
+    joined = rows.join(hits.hint("shuffle_hash"), "blob", "left")
+    text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(secrets.masked(F.col("row.text"), F.col("spans")))
+    return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
