@@ -126,6 +126,8 @@ def spans(docs: DataFrame, kind: Kind, shard: int = SHARD, hot: int = HOT) -> Da
     texts = keyed(docs)
     runs = map_arrow(texts.select("id", "h", "text"), _runs(kind), "id long, h long, lo int, n int, fp long, ctx long")
     again = runs.groupBy("fp").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1").select("fp", "mixed")
+    again = cut(again, "again", True)  # so that the join has two plain exchanges, whose hot partitions AQE splits
+    _free()
     runs = cut(runs.join(again, "fp"), "repeated")
     _free()
     first = F.min(F.struct("id", "lo", "h", "n")).alias("first")
@@ -146,9 +148,10 @@ def spans(docs: DataFrame, kind: Kind, shard: int = SHARD, hot: int = HOT) -> Da
         counted = windows.groupBy("fp", "content").agg(F.count_distinct("ctx").alias("c"), F.min(F.struct("id", "start")).alias("first"))
         gone = windows.join(counted, ["fp", "content"]).where(F.expr("first.id < id or first.start < start") if kind.first_stays else F.expr("c > 1"))
         solved = solved.unionByName(gone.groupBy("fp", "ctx").agg(F.array_sort(F.collect_set(F.struct(F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b")))).alias("own")))  # windows of one run
-    solved = cut(solved.where(F.size("own") > 0), "solved")
-    _free()
+    solved = solved.where(F.size("own") > 0)
     verdicts = classes.join(solved, ["fp", "ctx"], "left").where("c > 1 or own is not null").select("fp", "ctx", "c", F.col("first.id").alias("id0"), F.col("first.lo").alias("lo0"), "own")
+    verdicts = cut(verdicts, "verdicts", True)
+    _free()
     whole: Column = F.expr("id0 <> id or lo0 <> lo") if kind.first_stays else F.expr("c > 1")
     own = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("own"))
     hit = runs.join(verdicts, ["fp", "ctx"]).select("id", "h", F.transform(own, lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"]).alias("b"))).alias("own")).where(F.size("own") > 0)
