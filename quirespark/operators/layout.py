@@ -2,7 +2,7 @@
 
 Tables are keyed by (doc_id, page_no) and shuffle on these two once: every later grouping by more
 columns keeps that partitioning. Only three steps depend on the order in which elements are taken
-(lines, paragraphs, blocks); they run in Python per page, all others are plain expressions.
+(lines, paragraphs, blocks); they stream through Python page by page, all others are plain expressions.
 
 items: doc_id, page_no, seq, kind (text, path, image, shading), x0, y0, x1, y1 (a text's y0 is its baseline).
 text parts besides: text, size, rot, font, bold, italic, color, bad. Bigger y is further down.
@@ -11,7 +11,9 @@ text parts besides: text, size, rot, font, bold, italic, color, bad. Bigger y is
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,15 +63,51 @@ def cluster_1d(values: DataFrame, value: str, tolerance: float, keys: list[str]
 LINE_TOLERANCE, LINE_LEAST, SIZE_RATIO, LOOK_BACK, GIVE_UP = 0.32, 1.2, 0.45, 24, 3
 
 
-def _assign_lines(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["y0", "x0", "seq"], kind="stable")
+def _by_page(df: DataFrame, order: list[str], uses: list[str], fold: Callable[[list[list]], list[list]], more: str) -> DataFrame:
+    """df with the columns `more`, which fold makes from a page's `uses` (lists, in order).
+
+    Pages stream through a task, sorted, many to a batch: a batch's last page waits for the next batch.
+    """
+    names = [c.split()[0] for c in more.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest: pd.DataFrame | None = None
+
+        def folded(rows: pd.DataFrame) -> pd.DataFrame:
+            keys = rows[PAGE]
+            new = (keys != keys.shift()).any(axis=1).to_numpy()
+            new[0] = True
+            starts = [*np.flatnonzero(new).tolist(), len(rows)]
+            columns = [rows[c].tolist() for c in uses]
+            made: list[list] = [[] for _ in names]
+            for i, j in zip(starts[:-1], starts[1:], strict=True):
+                for held, values in zip(made, fold([c[i:j] for c in columns]), strict=True):
+                    held += values
+            return rows.assign(**dict(zip(names, made, strict=True)))
+
+        for batch in batches:
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            if not len(rows):
+                continue
+            last = (rows[PAGE] == rows[PAGE].iloc[-1]).all(axis=1).to_numpy()
+            cut = len(rows) if not last.any() else int(np.flatnonzero(~last)[-1]) + 1 if (~last).any() else 0
+            if cut:
+                yield folded(rows.iloc[:cut].reset_index(drop=True))
+            rest = rows.iloc[cut:].reset_index(drop=True)
+        if rest is not None and len(rest):
+            yield folded(rest)
+
+    return df.repartition(*PAGE).sortWithinPartitions(*PAGE, *order).mapInPandas(run, _with(df, more))
+
+
+def _fold_lines(columns: list[list]) -> list[list]:
     lines: list[list[float]] = []  # baseline, size, number of parts
     ids = []
-    for y, size in zip(page["y0"].tolist(), page["size"].tolist(), strict=True):
+    for y, size in zip(*columns, strict=True):
         hit = None
         for i in range(len(lines) - 1, max(-1, len(lines) - 1 - LOOK_BACK), -1):
             base, held, _ = lines[i]
-            if abs(base - y) <= max(LINE_LEAST, LINE_TOLERANCE * size, LINE_TOLERANCE * held) and min(held, size) / max(held, size) > SIZE_RATIO:
+            if abs(base - y) <= max(LINE_LEAST, LINE_TOLERANCE * size, LINE_TOLERANCE * held) and min(held, size) > SIZE_RATIO * max(held, size):
                 hit = i
                 break
             if base < y - GIVE_UP * size:
@@ -81,13 +119,12 @@ def _assign_lines(page: pd.DataFrame) -> pd.DataFrame:
             base, held, n = lines[hit]
             lines[hit] = [(base * n + y) / (n + 1), max(held, size), n + 1]
         ids.append(hit)
-    return page.assign(line_id=ids, baseline=[lines[i][0] for i in ids])
+    return [ids, [lines[i][0] for i in ids]]
 
 
 def assign_lines(parts: DataFrame) -> DataFrame:
     """parts with line_id and baseline (mean of the line's): parts of about one baseline and size are one line."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema.fields) + ", line_id long, baseline double"
-    return parts.groupBy(*PAGE).applyInPandas(_assign_lines, schema)
+    return _by_page(parts, ["y0", "x0", "seq"], ["y0", "size"], _fold_lines, "line_id long, baseline double")
 
 
 def gaps(parts: DataFrame) -> DataFrame:
@@ -161,16 +198,19 @@ def _continues(above: dict, below: dict, left: float, right: float) -> bool:
     return not BULLET.match(below["text"])
 
 
-def _assign_paragraphs(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["top", "x0", "line_id"], kind="stable")
+_LINE = ["text", "size", "baseline", "all_bold", "top", "bottom", "x0", "x1"]
+
+
+def _fold_paragraphs(columns: list[list]) -> list[list]:
     ids, last, n = [], None, -1
     left = right = 0.0
-    for line in page[["text", "size", "baseline", "all_bold", "top", "bottom", "x0", "x1"]].to_dict("records"):
+    for values in zip(*columns, strict=True):
+        line = dict(zip(_LINE, values, strict=True))
         if last is None or not _continues(last, line, left, right):
             n, left, right = n + 1, line["x0"], line["x1"]
         left, right, last = min(left, line["x0"]), max(right, line["x1"]), line
         ids.append(n)
-    return page.assign(para_id=ids)
+    return [ids]
 
 
 def _with(df: DataFrame, more: str) -> str:
@@ -181,7 +221,7 @@ def assign_paragraphs(lines: DataFrame, merge: bool = True) -> DataFrame:
     """lines with para_id; without merging every line is a paragraph."""
     if not merge:
         return lines.withColumn("para_id", F.row_number().over(Window.partitionBy(*PAGE).orderBy("top", "x0", "line_id")).cast("long") - 1)
-    return lines.groupBy(*PAGE).applyInPandas(_assign_paragraphs, _with(lines, "para_id long"))
+    return _by_page(lines, ["top", "x0", "line_id"], _LINE, _fold_paragraphs, "para_id long")
 
 
 def summarize_paragraphs(lines: DataFrame) -> DataFrame:
@@ -201,9 +241,11 @@ def summarize_paragraphs(lines: DataFrame) -> DataFrame:
     return paras.join(most_common("color", "top", keys, lines), keys, "left")
 
 
-def _assign_blocks(page: pd.DataFrame) -> pd.DataFrame:
-    page = page.sort_values(["top", "para_id"], kind="stable")
-    rows = page[["x0", "x1", "top", "bottom", "size"]].to_dict("records")
+_PARA = ["x0", "x1", "top", "bottom", "size"]
+
+
+def _fold_blocks(columns: list[list]) -> list[list]:
+    rows = [dict(zip(_PARA, values, strict=True)) for values in zip(*columns, strict=True)]
     ids = [-1] * len(rows)
     n = 0
     for i, first in enumerate(rows):
@@ -221,12 +263,12 @@ def _assign_blocks(page: pd.DataFrame) -> pd.DataFrame:
             if gap >= -1 and abs(p["x0"] - last["x0"]) < 1.6 * size and shared > 0.35 * min(last["x1"] - last["x0"], p["x1"] - p["x0"]):
                 ids[j], last, bottom = n, p, max(bottom, p["bottom"])
         n += 1
-    return page.assign(block_id=ids)
+    return [ids]
 
 
 def assign_blocks(paras: DataFrame) -> DataFrame:
     """paras with block_id: aligned paragraphs that follow each other closely are one block."""
-    return paras.groupBy(*PAGE).applyInPandas(_assign_blocks, _with(paras, "block_id long"))
+    return _by_page(paras, ["top", "para_id"], _PARA, _fold_blocks, "block_id long")
 
 
 def summarize_blocks(paras: DataFrame) -> DataFrame:
