@@ -21,11 +21,12 @@ RECTS = f"""SELECT *, x0 + w AS x1, y0 + h AS y1 FROM (SELECT {_AT}, CAST(l_quan
   CASE WHEN l_linenumber % 3 <> 0 THEN CASE l_returnflag WHEN 'A' THEN '#1F6F8B' WHEN 'R' THEN '#C6402E' ELSE '#336699' END END AS fill, CASE WHEN l_linenumber % 2 = 0 THEN '#000000' END AS stroke, CAST(1 + l_linenumber % 3 AS DOUBLE) AS line_width
   FROM {{lineitem}}) AS r"""
 PAGES = "SELECT DISTINCT l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, 612e0 AS w, 792e0 AS h FROM {lineitem}"
-#: Every page has 30 blocks or fewer, in two columns; the first and the last of a page are bands.
+#: Every line item is a block, in two columns; the first and the last of a page are bands, the others share the height between by their number.
 BLOCKS = """SELECT doc_id, page_no, n AS block_id, CASE WHEN n % 2 = 0 THEN 50e0 ELSE 330e0 END AS x0, CASE WHEN n % 2 = 0 THEN 260e0 ELSE 560e0 END + doc_id % 3 AS x1,
-  CASE WHEN n = 0 THEN 30e0 WHEN n = 1 THEN 740e0 ELSE 100e0 + 20 * n END AS top, CASE WHEN n = 0 THEN 42e0 WHEN n = 1 THEN 752e0 ELSE 115e0 + 20 * n END AS bottom, 10e0 AS size, n AS seq,
-  CASE WHEN n = 0 THEN 'Report of supplier  ' || doc_id || ' part ' || page_no WHEN n = 1 THEN '- ' || page_no || ' -' ELSE 'Body ' || seq0 END AS text
-  FROM (SELECT l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, ((l_partkey * 1000000 + l_orderkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq0, ROW_NUMBER() OVER (PARTITION BY l_suppkey, 1 + l_partkey % 6 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS n FROM {lineitem}) AS b WHERE n < 30"""
+  CASE WHEN n = 0 THEN 30e0 WHEN n = n_page - 1 THEN 740e0 ELSE 100e0 + CAST(floor(575e0 * n / n_page) AS DOUBLE) END AS top,
+  CASE WHEN n = 0 THEN 42e0 WHEN n = n_page - 1 THEN 752e0 ELSE 100e0 + CAST(floor(575e0 * n / n_page) + least(15, greatest(1, floor(862e0 / n_page))) AS DOUBLE) END AS bottom, 10e0 AS size, n AS seq,
+  CASE WHEN n = 0 THEN 'Report of supplier  ' || doc_id || ' part ' || page_no WHEN n = n_page - 1 THEN '- ' || page_no || ' -' ELSE 'Body ' || seq0 END AS text
+  FROM (SELECT l_suppkey AS doc_id, 1 + l_partkey % 6 AS page_no, ((l_partkey * 1000000 + l_orderkey) * 10 + l_linenumber) * 100 + CAST(l_quantity AS BIGINT) AS seq0, ROW_NUMBER() OVER (PARTITION BY l_suppkey, 1 + l_partkey % 6 ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) - 1 AS n, COUNT(*) OVER (PARTITION BY l_suppkey, 1 + l_partkey % 6) AS n_page FROM {lineitem}) AS b"""
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "conversations")
 
 

@@ -73,6 +73,14 @@ def test_partitions_do_not_matter(spark, sf, name):
     assert seen[0] == seen[1] and seen[0]
 
 
+def test_every_line_item_is_a_block(spark, sf):
+    blocks = samples.load(spark, sf, samples.BLOCKS)
+    n = spark.read.parquet(f"{sf}/lineitem.parquet").count()
+    assert blocks.count() == n and blocks.where("top < 0 or bottom > 792 or bottom <= top").isEmpty()
+    assert blocks.where("bottom >= 0.88 * 792").groupBy("doc_id", "page_no").count().where("count > 1").isEmpty()
+    assert registry.QUERIES["a2_headers_footers"](spark, sf).count() == registry.QUERIES["w12_reading_order"](spark, sf).count() == n
+
+
 def test_registry():
     assert set(registry.ORACLES) <= set(registry.QUERIES) and len(registry.QUERIES) >= 40
     assert "{" not in samples.plain(samples.TEXTS)
