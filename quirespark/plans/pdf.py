@@ -19,6 +19,7 @@ from ..operators.layout import PAGE
 #: The words of the structured text, which its reader knows again.
 ROLE = {"header": "页眉", "footer": "页脚"}
 SHAPE = {"background": "背景", "h-line": "水平线", "v-line": "垂直线", "oblique": "斜线", "square": "正方形", "rectangle": "矩形", "triangle": "三角形", "quadrilateral": "四边形", "polyline": "折线", "circle": "圆形", "ellipse": "椭圆", "rounded-rectangle": "圆角矩形", "curve": "曲线", "freeform": "自由形状", "rectangles": "矩形组", "compound": "复合路径"}
+GRADIENT = {"axial": "线性渐变", "radial": "径向渐变", "function": "函数渐变", "mesh": "网格渐变"}
 CHART = {"bars-vertical": "柱形图（垂直柱）", "bars-horizontal": "柱形图（水平条）", "pie": "饼图/环形图", "pie-few": "饼图/环形图（扇区偏少，可能是图标）", "line": "折线图（数据系列）"}
 
 
@@ -46,6 +47,8 @@ class Parts(NamedTuple):
     charts: DataFrame
     images: DataFrame
     columns: DataFrame
+    rotated: DataFrame
+    shadings: DataFrame
 
 
 def analyze(elements: DataFrame, opt: Options = Options()) -> Parts:  # noqa: B008
@@ -53,7 +56,10 @@ def analyze(elements: DataFrame, opt: Options = Options()) -> Parts:  # noqa: B0
     pages = elements.where("kind = 'page'").select(*PAGE, "w", "h", "rot")
     drawn = elements.where("kind in ('text', 'path', 'image', 'shading')")
     seen = layout.visible(drawn)
-    texts = seen.where("kind = 'text' and length(trim(text)) > 0").where(layout.is_flat()).select(*PAGE, "seq", "x0", "y0", "x1", "y1", "text", "size", "rot", X.font_name("font").alias("font"), "bold", "italic", "color", "bad")
+    written = seen.where("kind = 'text' and length(trim(text)) > 0")
+    flat = F.coalesce(layout.is_flat(), F.lit(False))
+    rotated = written.where(~flat).select(*PAGE, "seq", "x0", "y0", "text", "size", "rot", X.font_name("font").alias("font"), "color")
+    texts = written.where(flat).select(*PAGE, "seq", "x0", "y0", "x1", "y1", "text", "size", "rot", X.font_name("font").alias("font"), "bold", "italic", "color", "bad")
     parts = cut(layout.gaps(layout.assign_lines(texts)), "parts")
     lines = cut(layout.summarize_lines(parts), "lines")
     drawings = cut(shapes.classify(seen.where("kind = 'path'").select(*PAGE, "seq", "x0", "y0", "x1", "y1", "fill", "stroke", "line_width", "subpaths"), pages), "drawings")
@@ -82,16 +88,17 @@ def analyze(elements: DataFrame, opt: Options = Options()) -> Parts:  # noqa: B0
     found = cut(layout.columns(blocks, pages), "columns") if opt.columns else pages.select(*PAGE, F.lit(1).cast("long").alias("n_columns"), F.lit(None).cast("array<struct<x0:double,x1:double>>").alias("gutters"), F.lit(None).cast("array<double>").alias("bounds"), F.lit(0.0).alias("confidence"))
     blocks = layout.roles(blocks, pages) if opt.header_footer else blocks.withColumns({"role": F.lit(None).cast("string"), "role_confidence": F.lit(None).cast("double"), "is_page_number": F.lit(False)})
     blocks = cut(layout.reading_order(blocks, found), "ordered")
-    none = shapes.line_charts(drawings, pages).where("false")
     bars = shapes.bar_charts(drawings, pages)
-    charts = bars.drop("bar_width", "series").unionByName(shapes.pie_charts(drawings)).unionByName(shapes.line_charts(drawings, pages)) if opt.charts else none
-    charts = cut(shapes.suppress(cut(charts.withColumn("id", F.col("seq")), "chart-candidates")), "charts")
+    charts = bars.unionByName(shapes.pie_charts(drawings), allowMissingColumns=True).unionByName(shapes.line_charts(drawings, pages), allowMissingColumns=True)
+    charts = charts if opt.charts else charts.where("false")
+    charts = shapes.suppress(cut(charts.withColumn("id", F.col("seq")), "chart-candidates")).withColumn("chart_id", F.col("id"))
+    charts = cut(shapes.near_labels(charts, lines).drop("chart_id"), "charts")
     used = rules.join(ruled.select(*PAGE), PAGE, "left_semi").select(*PAGE, "seq").distinct()
     decor = cut(shapes.drop_specks(drawings.where("shape <> 'background'").join(used, [*PAGE, "seq"], "left_anti"), pages), "decor-candidates")
     inside = charts.select(*PAGE, F.col("x0").alias("cx0"), F.col("y0").alias("cy0"), F.col("x1").alias("cx1"), F.col("y1").alias("cy1"))
     members = decor.join(inside, PAGE).where("fill is not null and x0 >= cx0 and y0 >= cy0 and x1 <= cx1 and y1 <= cy1").select(*PAGE, "seq").distinct()
     decor = cut(decor.join(members, [*PAGE, "seq"], "left_anti"), "decor")
-    return Parts(pages, layout.dropped_counts(drawn), lines, blocks, tables, cells, decor if opt.shapes else decor.where("false"), charts, seen.where("kind = 'image'"), found)
+    return Parts(pages, layout.dropped_counts(drawn), lines, blocks, tables, cells, decor if opt.shapes else decor.where("false"), charts, seen.where("kind = 'image'"), found, rotated, seen.where("kind = 'shading'"))
 
 
 def _spot(opt: Options, y0: str = "y0", y1: str = "y1") -> Column:
@@ -121,23 +128,45 @@ def element_text(p: Parts, opt: Options = Options()) -> DataFrame:  # noqa: B008
     line = lambda r: F.concat(F.lit("  第"), (r + 1).cast("string"), F.lit("行: "), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_cols").cast("int") - 1), lambda c: F.concat(F.lit('"'), F.replace(cell(r, c), F.lit("\n"), F.lit("⏎")), F.lit('"'))), " | "))
     rows = F.when(F.col("grid").isNotNull(), F.array_join(F.transform(F.sequence(F.lit(0), F.col("n_rows").cast("int") - 1), line), "\n"))
     tables = tables.select(*PAGE, "seq", F.lit("table").alias("kind"), F.col("seq").alias("id"), F.concat(F.lit("表格 "), F.when(F.col("ruled"), "").otherwise("（无框线）"), _sure("confidence")).alias("head"), F.concat_ws("\n", _spot(opt), F.concat(F.col("n_rows").cast("string"), F.lit(" 行 × "), F.col("n_cols").cast("string"), F.lit(" 列")), rows).alias("body"))
-    charts = p.charts.select(*PAGE, "seq", F.lit("chart").alias("kind"), "id", F.concat(F.lit("疑似图表："), _named(CHART, "guess"), _sure("confidence")).alias("head"), _spot(opt).alias("body"))
+    labels = F.when(F.size("labels") > 0, F.concat(F.lit("区域内及周边文字（可能是坐标轴标签/数据标签/图例，工具无法确定归属）:\n  "), F.array_join(F.transform("labels", lambda t: F.concat(F.lit('"'), t, F.lit('"'))), "  ")))
+    charts = p.charts.select(*PAGE, "seq", F.lit("chart").alias("kind"), "id", F.concat(F.lit("疑似图表："), _named(CHART, "guess"), _sure("confidence")).alias("head"), F.concat_ws("\n", _spot(opt), _bars(opt), labels).alias("body"))
     fill, stroke = F.concat(F.lit("填充: "), "fill"), F.concat(F.lit("边框: "), "stroke", F.lit(" 粗细 "), G.shown(G.round_half_up("line_width", 2)), F.lit("pt"))
     drawn = p.shapes.select(*PAGE, "seq", F.lit("shape").alias("kind"), F.col("seq").alias("id"), F.concat(_named(SHAPE, "shape"), F.when(F.col("shape_confidence") < 0.8, _sure("shape_confidence")).otherwise("")).alias("head"), F.concat_ws("\n", _spot(opt), fill, stroke).alias("body"))
     images = p.images.select(*PAGE, "seq", F.lit("image").alias("kind"), F.col("seq").alias("id"), F.lit("图片").alias("head"), F.concat_ws("\n", _spot(opt), F.concat(F.lit("像素尺寸: "), F.col("pix_w").cast("string"), F.lit(" × "), F.col("pix_h").cast("string"), F.lit("　格式: "), "format")).alias("body"))
-    all_ = layout.z_order(blocks.unionByName(tables).unionByName(charts).unionByName(drawn).unionByName(images))
+    stops = F.when(F.size("pattern.stops") > 0, F.concat(F.lit(" 色标 "), F.array_join(F.transform("pattern.stops", lambda x: F.concat(G.shown(G.round_half_up(x["t"] * 100)), F.lit("%→"), x["color"])), " ")))
+    shadings = p.shadings.select(*PAGE, "seq", F.lit("shading").alias("kind"), F.col("seq").alias("id"), F.lit("渐变填充区域").alias("head"), F.concat_ws("\n", _spot(opt), F.concat(_named(GRADIENT, "pattern.kind"), F.coalesce(stops, F.lit("")))).alias("body"))
+    all_ = layout.z_order(blocks.unionByName(tables).unionByName(charts).unionByName(drawn).unionByName(images).unionByName(shadings))
     return all_.select(*PAGE, "z", "kind", F.concat(F.lit("### ["), F.col("z").cast("string"), F.lit("] "), "head", F.lit("\n"), "body").alias("text"))
 
 
+def _bars(opt: Options) -> Column:
+    """Each bar of a chart from the left, and how their lengths relate to the shortest; null for other charts."""
+    u = lambda c: G.shown(G.to_unit(c, opt.unit))
+    wide = lambda s: F.when(F.col("guess") == "bars-horizontal", s["len"]).otherwise(F.col("bar_width"))
+    bar = lambda s, i: F.concat(F.lit("  柱"), (i + 1).cast("string"), F.lit(": 长度 "), u(s["len"]), F.lit(f"{opt.unit}  x="), u(s["x0"]), F.lit("~"), u(s["x0"] + wide(s)), F.lit("  "), F.coalesce(s["color"], F.lit("")))
+    least = F.array_min(F.transform("series", lambda s: s["len"]))
+    ratios = F.array_join(F.transform("series", lambda s: F.format_string("%.2f", s["len"] / least)), " : ")
+    ratio = F.when(least > 0, F.concat(F.lit("  长度比值（若坐标轴从 0 起，这就是数据比值）: "), ratios)).otherwise("  长度比值: 无法确定（存在零长度柱）")
+    return F.when(F.size("series") > 0, F.concat(F.lit("各柱几何（按 x 从左到右）:\n"), F.array_join(F.transform("series", bar), "\n"), F.lit("\n"), ratio))
+
+
+def rotated_text(p: Parts, opt: Options = Options()) -> DataFrame:  # noqa: B008
+    """doc_id, page_no and text of the section of vertical and turned texts, all of them, in the order they are drawn."""
+    u = lambda c: G.shown(G.to_unit(c, opt.unit))
+    line = F.concat(F.lit('  · "'), "text", F.lit('"'), F.coalesce(F.concat(F.lit("  旋转 "), G.shown(G.round_half_up("rot")), F.lit("°")), F.lit("")), F.lit("  "), F.concat_ws(" ", F.concat(G.shown(G.round_half_up("size", 1)), F.lit("pt")), "font", "color"), F.coalesce(F.concat(F.lit("  位置 x="), u("x0"), F.lit(" y="), u("y0"), F.lit(opt.unit)), F.lit("")))
+    listed = p.rotated.groupBy(*PAGE).agg(F.array_sort(F.collect_list(F.struct("seq", line.alias("t")))).alias("all"))
+    return listed.select(*PAGE, F.concat(F.lit("### 旋转/竖排文字（"), F.size("all").cast("string"), F.lit(" 段，未参与段落归并）\n"), F.array_join(F.transform("all", lambda x: x["t"]), "\n")).alias("turned"))
+
+
 def document_text(elements: DataFrame, opt: Options = Options()) -> DataFrame:  # noqa: B008
     """doc_id and text: the structured description of each document; documents that can't be read have their error as text."""
     p = analyze(elements, opt)
     drawn = cut(element_text(p, opt), "element-text").groupBy(*PAGE).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("z", "text"))), lambda x: x["text"]), "\n\n").alias("body"), F.count("*").alias("n"))
     total = F.count("*").over(Window.partitionBy("doc_id"))
     fmt = lambda c: G.shown(G.to_unit(c, opt.unit))
-    heads = p.pages.withColumn("n_pages", total).join(p.columns.select(*PAGE, "n_columns"), PAGE, "left").join(drawn, PAGE, "left")
+    heads = p.pages.withColumn("n_pages", total).join(p.columns.select(*PAGE, "n_columns"), PAGE, "left").join(drawn, PAGE, "left").join(rotated_text(p, opt), PAGE, "left")
     column = F.when(F.col("n_columns") > 1, F.concat(F.lit("分栏: "), F.col("n_columns").cast("string"), F.lit(" 栏")))
-    page = F.concat_ws("\n", F.concat(F.lit("## 第 "), F.col("page_no").cast("string"), F.lit(" 页 / 共 "), F.col("n_pages").cast("string"), F.lit(" 页")), F.when(F.col("rot") != 0, F.concat(F.lit("页面旋转: "), F.col("rot").cast("int").cast("string"), F.lit("°"))), column, F.lit(""), F.col("body"), F.lit(""), F.concat(F.lit("（本页共 "), F.coalesce(F.col("n"), F.lit(0)).cast("string"), F.lit(" 个元素）")), F.lit(""), F.lit("---"))
+    page = F.concat_ws("\n", F.concat(F.lit("## 第 "), F.col("page_no").cast("string"), F.lit(" 页 / 共 "), F.col("n_pages").cast("string"), F.lit(" 页")), F.when(F.col("rot") != 0, F.concat(F.lit("页面旋转: "), F.col("rot").cast("int").cast("string"), F.lit("°"))), column, F.lit(""), F.col("body"), F.concat(F.lit("\n"), "turned"), F.lit(""), F.concat(F.lit("（本页共 "), F.coalesce(F.col("n"), F.lit(0)).cast("string"), F.lit(" 个元素）")), F.lit(""), F.lit("---"))
     pages = heads.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_no", page.alias("t")))), lambda x: x["t"]), "\n\n").alias("body"), F.min_by("w", "page_no").alias("w"), F.min_by("h", "page_no").alias("h"), F.max("n_pages").alias("n_pages"))
     about = elements.where("kind in ('info', 'note', 'outline', 'error')").groupBy("doc_id").agg(
         F.max(F.when(F.col("name") == "title", F.col("text"))).alias("title"), F.max(F.when(F.col("name") == "author", F.col("text"))).alias("author"), F.max(F.when(F.col("name") == "creator", F.col("text"))).alias("creator"), F.max(F.when(F.col("name") == "producer", F.col("text"))).alias("producer"),

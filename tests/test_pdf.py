@@ -60,3 +60,18 @@ def test_tables_charts_text(spark, read, tmp_path):
     assert texts["a"].startswith("# PDF 结构化描述：a") and "位置: x=2.54 y=3.95 宽=7.06 高=2.82 cm" in texts["a"] and "填充: #1F6F8B" in texts["a"] and "Bold Words" in texts["a"]
     assert '第1行: "r0c0" | "r0c1" | "r0c2"' in texts["grid"] and "疑似图表：柱形图（垂直柱）" in texts["bars"]
     assert texts["junk"] == "错误: not a PDF" and texts["many"].count("（页眉 [推断 置信度0.95]）") == 4
+
+
+def test_rotated_shadings_bars(spark, read, tmp_path):
+    turned = b"BT /F1 10 Tf 72 700 Td (Flat) Tj ET " + b"".join(b"BT /F1 9 Tf 0 1 -1 0 %d 300 Tm (Side %d) Tj ET " % (20 + 10 * i, i) for i in range(35))
+    shaded = b"q 100 300 200 100 re W n /S1 sh Q"
+    extra = "/Shading << /S1 << /ShadingType 2 /ColorSpace /DeviceRGB /Coords [0 0 1 0] /Function << /FunctionType 2 /Domain [0 1] /C0 [1 0 0] /C1 [0 0 1] /N 1 >> >> >>"
+    labels = b"".join(b"BT /F1 8 Tf %d 388 Td (Q%d) Tj ET " % (102 + 40 * i, i + 1) for i in range(5))
+    path = str(tmp_path / "elements")
+    read(turned=pdf(turned), shaded=pdf(shaded, page_extra=extra), bare=pdf(b"/S1 sh", page_extra=extra), bars=pdf(BARS + labels)).write.parquet(path)
+    texts = {r.doc_id: r.text for r in plan.document_text(spark.read.parquet(path)).collect()}
+    assert "（35 段，未参与段落归并）" in texts["turned"] and all(f'"Side {i}"  旋转 ' in texts["turned"] for i in range(35)) and '"Flat"' in texts["turned"]
+    assert "渐变填充区域" in texts["shaded"] and "线性渐变 色标 0%→#FF0000" in texts["shaded"] and "100%→#0000FF" in texts["shaded"]
+    assert "渐变填充区域" in texts["bare"] and "宽=21.59 高=27.94" in texts["bare"]
+    assert "柱5: 长度 3.53cm  x=9.17~9.88  #336699" in texts["bars"] and "1.00 : 2.00 : 3.00 : 1.50 : 2.50" in texts["bars"]
+    assert "区域内及周边文字" in texts["bars"] and all(f"Q{i}" in texts["bars"].split("区域内及周边文字")[1] for i in range(1, 6))
