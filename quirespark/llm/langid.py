@@ -7,7 +7,8 @@ descent in numpy, then a temperature is fitted on examples held back. Because th
 mean, a bucket's embedding and the layer fold into one row of scores, and a text costs a histogram.
 
 Rejection is calibrated on the same examples: a text is rejected when its score is below what all but
-REJECTED of the rightly labelled ones reach, or when it has no letter.
+REJECTED of the rightly labelled ones reach, or when it has no letter. Of fewer than 1 / REJECTED of them
+that is the lowest, below which more than REJECTED of other rightly labelled texts can lie.
 
 Examples are at most PER_LANGUAGE documents of each language, those of the smallest hashes of doc_id;
 only text and language are used. Defined results: null text, or text without a letter, is `und`
@@ -35,8 +36,8 @@ UNKNOWN = "und"
 PER_LANGUAGE, LANGUAGES = 600, 200
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 8, 32, 2.0
-#: Share of rightly labelled texts that calibration lets go, at most.
-REJECTED = 0.0005
+#: Share of rightly labelled examples held back that calibration lets go, at most; and what one score may differ by rounding.
+REJECTED, ROUNDING = 0.0005, 1e-6
 _SALT = np.random.default_rng(7).integers(1, 2**63, 8, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -117,7 +118,7 @@ def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
     heat = float(heats[int(np.argmin(loss))])
     p = _softmax(logits / heat)
     right = np.sort(p.max(1)[p.argmax(1) == y[:held]])
-    threshold = 0.5 * float(right[int(REJECTED * len(right))]) if len(right) else 0.0
+    threshold = float(right[int(REJECTED * len(right))]) - ROUNDING if len(right) else 0.0
     return Model(languages, (scores / heat).astype(np.float32), bias / heat, max(threshold, 1 / len(languages) + 1e-6))
 
 

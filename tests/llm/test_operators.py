@@ -106,6 +106,18 @@ def test_language(spark, docs):
     assert {r.lang_pred for r in langid.identify(none, langid.learn(none)).collect()} == {"und"}
 
 
+def test_unlearned_languages_are_rejected_by_score(docs):
+    rng = random.Random(5)
+    kinds = {"aa": "abcdefgh", "bb": "stuvwxyz", "cc": "ijklmnop"}
+    text = lambda *of: " ".join("".join(rng.choices(kinds[of[i % len(of)]], k=4)) for i in range(12))
+    model = langid.train([(text(lang), lang) for _ in range(150) for lang in kinds])
+    rows = [(i, text(lang)) for i, lang in enumerate(list(kinds) * 20)] + [(100 + i, text("aa", "bb")) for i in range(20)] + [(200 + i, " ".join("".join(rng.choices("éñüßøåçœ", k=4)) for _ in range(12))) for i in range(20)]
+    got = {r.doc_id: r for r in langid.identify(docs(rows), model).collect()}
+    assert not any(got[i].rejected for i in range(60))
+    assert all(got[i].rejected and got[i].score > 0 for i in got if i >= 100)
+    assert {r.doc_id for r in langid.identified(docs(rows), model).collect()} == set(range(60))
+
+
 def test_minhash(df, docs):
     sets = {}
     for id_, text in ROWS:
