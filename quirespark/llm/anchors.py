@@ -2,8 +2,8 @@
 
 A window is `window` consecutive symbols of one text. Its anchor is the k-gram in it of the smallest
 hash, the leftmost of equal ones, so equal windows have equal anchors at equal places. A run is the
-maximal range of a text's windows with one anchor place; it is described by the hash of the anchor and
-the hash of its context (the symbols that its windows cover). Windows in runs of different anchors differ.
+maximal range of a text's windows with one anchor place; its context is the symbols that its windows cover.
+Windows in runs of different anchors differ.
 """
 
 from __future__ import annotations
@@ -13,7 +13,6 @@ import numpy as np
 from . import vec
 
 
-
 def sliding_minimum(keys: np.ndarray, width: int) -> np.ndarray:
     """The minimum of each `width` consecutive keys."""
     have, low = 1, keys
@@ -26,14 +25,14 @@ def sliding_minimum(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def runs(symbols: np.ndarray, of: np.ndarray, window: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, last window + 1, anchor hash, context hash) of the runs of the texts symbols[of[i]:of[i+1]].
+    """(first window, last window + 1, anchor hash, place of the anchor from the first window) of the runs of the texts symbols[of[i]:of[i+1]].
 
     symbols: 64-bit values, equal where symbols are equal. Positions are those in symbols.
     """
     n = len(symbols)
     empty = np.zeros(0, np.int64)
     if n < window:
-        return empty, empty, empty.astype(np.uint64), empty.astype(np.uint64)
+        return empty, empty, empty.astype(np.uint64), empty
     sums = vec.prefix(symbols)
     at = np.arange(n - k + 1)
     gram = vec.span(sums, at, at + k)
@@ -59,6 +58,4 @@ def runs(symbols: np.ndarray, of: np.ndarray, window: int, k: int) -> tuple[np.n
     # windows between two runs belong to no text: a run ends with its text
     text = np.searchsorted(of, lo, "right") - 1
     hi = np.minimum(stop, ends[text] - window + 1)
-    anchor = gram[place[lo]]
-    context = vec.span(sums, lo, hi - 1 + window) ^ ((place[lo] - lo).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return lo, hi, anchor, context
+    return lo, hi, gram[place[lo]], place[lo] - lo

@@ -1,13 +1,16 @@
 """Substring dedup: words of 20-word windows that start earlier in the corpus go.
 
-The shards of repeats.py hold the contexts that share an anchor but differ, in corpus order. For each anchor
-a suffix automaton over word sequences grows with the contexts seen so far; the next
-context streams through it first, and where its matching statistics reach the length of a window, that window
-starts earlier. What is earlier is smaller in doc_id, or in the same document further ahead.
+Each shard of repeats.py, parts of texts that share most of a window but differ, is a reference shard: a suffix
+automaton over its word sequences, whose size is bounded by the shard's. The same stretches of the documents
+then stream through it, and their matching statistics, held at the length of a window, lead to the state of each
+window: equal windows have one state. Of a state's windows all but the earliest go. What is earlier is smaller in
+doc_id, or in the same document further ahead.
+
+A shard goes to the one task that has its documents instead of to all: all shards together grow with the corpus.
 
 Windows never cross documents; all is judged on the input. Defined results: null or empty text has no word;
 rows of one doc_id are versions of one document: of two equal windows at one place in both neither is
-earlier; a null doc_id is smaller than all others; extra columns are ignored.
+earlier; a null doc_id is smaller than all others; bytes that aren't UTF-8 become U+FFFD in kept; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,21 +34,16 @@ class Automaton:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
 
-    def statistics(self, values: list[int]) -> list[int]:
-        """For each place, the longest stretch ending there that occurs in the sequences."""
-        out, state, length = [], 0, 0
+    def states(self, values: list[int], window: int) -> list[int]:
+        """The state of each window of one of the sequences."""
+        out, state = [], 0
         next_, link, lengths = self.next, self.link, self.length
         for v in values:
-            while state and v not in next_[state]:
+            state = next_[state][v]
+            while lengths[link[state]] >= window:  # what is longer than a window is let go
                 state = link[state]
-                length = lengths[state]
-            to = next_[state].get(v)
-            if to is not None:
-                state, length = to, length + 1
-            else:
-                length = 0
-            out.append(length)
-        return out
+            out.append(state)
+        return out[window - 1 :]
 
     def add(self, values: list[int]) -> None:
         last = 0
@@ -86,25 +84,22 @@ class Automaton:
 def _solver(length: int):
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        fp, ctx = table["fp"].to_numpy(), table["ctx"].to_numpy()
-        order = np.lexsort((ctx, table["lo"].to_numpy(), table["id"].to_numpy(), fp))
-        held, all_n = table["symbols"], table["n"].to_numpy()
-        own, of, keep = [], [0], []
-        last, grown, seen = None, Automaton(), set()
-        for i in order.tolist():
-            if fp[i] != last:
-                last, grown, seen = fp[i], Automaton(), set()
-            if ctx[i] in seen:  # equal rows have both given it
-                continue
-            seen.add(ctx[i])
-            values = np.frombuffer(held[i].as_py(), np.int64).tolist()
-            found = grown.statistics(values)
-            grown.add(values)
-            keep.append(i)
-            own.append(np.array(found[length - 1 :]) >= length)
-            of.append(of[-1] + int(all_n[i]))
-        flags = np.concatenate(own) if own else np.zeros(0, bool)
-        return pa.table({"fp": fp[keep], "ctx": ctx[keep], "own": pa.array(repeats.marks(flags, np.array(of)), OWN)})
+        numbers: dict[bytes, int] = {}
+        texts = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")] for text in table["symbols"].to_pylist()]
+        reference = Automaton()
+        for values in texts:
+            reference.add(values)
+        n = table["n"].to_numpy().astype(np.int64)
+        of = np.concatenate([[0], np.cumsum(n)])
+        state = np.array([s for values in texts for s in reference.states(values, length)], np.int64)
+        ids = np.repeat(table["id"].to_numpy(), n)
+        start = np.repeat(table["lo"].to_numpy() - of[:-1], n) + np.arange(of[-1])
+        order = np.lexsort((start, ids, state))
+        lead = np.concatenate([[True], np.diff(state[order]) > 0])
+        first = order[np.flatnonzero(lead)[np.cumsum(lead) - 1]]
+        gone = np.zeros(len(state), bool)
+        gone[order] = (ids[order] != ids[first]) | (start[order] != start[first])
+        return pa.table({**{c: table[c] for c in ("fp", "c1", "c2")}, "own": pa.array(repeats.marks(gone, of), OWN)})
 
     return solve
 
@@ -128,7 +123,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, with_text: bool = True, **sizes
                 n_removed.append(int((gone[i][:, 1] - gone[i][:, 0]).sum()))
                 hashes.append(hashlib.sha256(kept).hexdigest())
                 if with_text:
-                    kept_texts.append(kept.decode())
+                    kept_texts.append(kept.decode("utf-8", "replace"))
                 i += 1
         columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(hashes, pa.string())]
         names = ["doc_id", "n_words", "n_removed", "kept_sha256"]

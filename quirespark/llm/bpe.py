@@ -6,11 +6,11 @@ a space, how many letters of a contraction are left), whose transition functions
 each lane of code points first gives its function from any state to its last, a scan over lanes
 composes them, and a second pass from the right states marks the boundaries. No regular expression runs.
 
-The slices between boundaries are hashed, distinct ones are merged once in a chunk (all of them in step,
-as arrays) and kept in a bounded cache with their ids, the text of their ids and their decoded bytes.
+Distinct slices between boundaries are merged once in a chunk (all of them in step, as arrays) and kept,
+by their bytes, in a bounded cache with their ids, the text of their ids and their decoded bytes.
 
 Defined results: null text is empty; empty text has no token and decodes to nothing; every
-row gets its own result, equal doc_ids too; extra columns are ignored.
+row gets its own result, equal doc_ids too; bytes that aren't UTF-8 count as U+FFFD; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,11 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vec
+from .common import map_arrow
 
 #: Bytes of text pre-tokenised at once: more repeat within more.
 PRETOKENISED = 2 << 20
-#: Entries of a worker's cache of merged pieces; it starts anew when full.
-CACHE = 200_000
+#: Entries of a worker's cache of merged pieces, which starts anew when full, and the longest piece that stays in it.
+CACHE, KEPT = 200_000, 256
 #: Pieces longer than this are merged one by one.
 WIDE = 48
 
@@ -161,7 +162,7 @@ class Encoder:
             self.slot_key[at[takes]], self.slot_rank[at[takes]] = keys[rest[takes]], made[rest[takes]]
             rest = rest[~takes]
             slots[rest] = (slots[rest] + 1) & (self.size - 1)
-        self.cache: dict[int, tuple[int, bytes, bytes]] = {}
+        self.cache: dict[bytes, tuple[int, bytes, bytes]] = {}
 
     def slots(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64)
@@ -266,17 +267,19 @@ class Encoder:
         begins[at] = True
         starts = at_byte[piece_starts(codes, begins[at_byte])]
         ends = np.append(starts[1:], len(data))
-        hashes = vec.span(vec.prefix(vec.byte_values(data)), starts, ends)
-        distinct, one, which = np.unique(hashes, return_index=True, return_inverse=True)
-        keys, cache = distinct.tolist(), self.cache
-        new = [i for i, key in enumerate(keys) if key not in cache]
+        one, which = vec.first_of_equal(data, starts, ends)
+        keys, cache = [raw[a:b] for a, b in zip(starts[one].tolist(), ends[one].tolist(), strict=True)], self.cache
+        new = [key for key in keys if key not in cache]
         if len(cache) + len(new) > CACHE:
             cache.clear()
-            new = range(len(keys))
-        slices = [raw[a:b] for a, b in zip(starts[one[new]].tolist(), ends[one[new]].tolist(), strict=True)]
-        for i, ids in zip(new, self.merge_all(slices), strict=True):
-            cache[keys[i]] = (len(ids), "".join(f"{x}," for x in ids).encode(), b"".join([self.bytes_of[x] for x in ids]))
-        return starts, which, [cache[key] for key in keys], np.searchsorted(starts, at)
+            new = keys
+        for key, ids in zip(new, self.merge_all(new), strict=True):
+            cache[key] = (len(ids), "".join(f"{x}," for x in ids).encode(), b"".join([self.bytes_of[x] for x in ids]))
+        found = [cache[key] for key in keys]
+        for key in new:
+            if len(key) > KEPT:
+                del cache[key]
+        return starts, which, found, np.searchsorted(starts, at)
 
 
 def read_ranks(lines: Iterator[bytes]) -> dict[bytes, int]:
@@ -333,7 +336,7 @@ def _send(df: DataFrame, path: str) -> str:
 def encode(docs: DataFrame, ranks_path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of each row of docs(doc_id, text)."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_encode(_send(docs, ranks_path), with_ids), schema)
+    return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text")), _encode(_send(docs, ranks_path), with_ids), schema)
 
 
 def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
@@ -347,4 +350,4 @@ def decode(tokens: DataFrame, ranks_path: str) -> DataFrame:
             ends = [np.cumsum([len(x) for x in p], dtype=np.int64) for p in parts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([b"".join(p) for p in parts], pa.binary()), pa.array(ends, pa.list_(pa.int64()))], ["doc_id", "bytes", "ends"])
 
-    return tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, bytes binary, ends array<bigint>")
+    return map_arrow(tokens.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids")), run, "doc_id long, bytes binary, ends array<bigint>")

@@ -1,19 +1,17 @@
 """Suffix arrays by induced sorting, and permuted longest common prefixes, in numpy.
 
 Suffixes are classed as smaller (S) or larger (L) than the next; the leftmost S of each stretch (LMS)
-cut the text into substrings. These are sorted by induction, named, and sorted as suffixes of
-the string of their names; the order of all suffixes is then induced from theirs. Induction goes
-bucket by bucket (a first symbol each) and takes a bucket's entries at once, in as many waves as the
-symbol repeats in a row. The string of names has a large alphabet, for which buckets don't pay in
-numpy: there the recursion ends in doubling of ranks.
+cut the text into substrings. These are sorted by induction, named by comparison with their neighbours, and
+sorted as suffixes of the string of their names, by the same routine, until all names differ; the
+order of all suffixes is then induced from theirs. Induction goes bucket by bucket (a first symbol each) and takes
+a bucket's entries at once, in as many waves as the symbol repeats in a row. So that buckets stay few, names beyond
+a small alphabet are written as two digits each: suffixes that start at first digits keep their order.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-from . import vec
-
 
 def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray) -> np.ndarray:
     """The suffix array if lms are in order; if only their first symbols are, the order of the LMS substrings."""
@@ -72,22 +70,31 @@ def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray
     return sa
 
 
-def _rank(names: np.ndarray) -> np.ndarray:
-    """The order of the suffixes of names."""
-    n, k, rank = len(names), 1, names.astype(np.int64)
-    while True:
-        order = np.argsort(rank, kind="stable")
-        ranked = rank[order]
-        if (ranked[1:] > ranked[:-1]).all():
-            return order
-        second = np.zeros(n, np.int64)
-        second[:-k] = rank[k:] + 1
-        key = rank * (int(ranked[-1]) + 2) + second
-        order = np.argsort(key, kind="stable")
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate([[0], np.cumsum(ranked[1:] != ranked[:-1])])
-        k *= 2
+def _names(t: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each of the substrings t[order[i]:ends[i]], which are sorted: equal ones get the same."""
+    length = ends - order
+    same = length[1:] == length[:-1]
+    near = np.flatnonzero(same)
+    n = length[near]
+    if len(near):
+        edge = np.cumsum(n) - n
+        at = np.arange(n.sum()) + np.repeat(order[near] - edge, n)
+        shift = np.repeat(order[near + 1] - order[near], n)
+        same[near] = np.logical_and.reduceat(t[at] == t[at + shift], edge)
+    return np.concatenate([[0], np.cumsum(~same)])
+
+
+#: Most names that are symbols themselves.
+SYMBOLS = 1024
+
+
+def _string(names: np.ndarray, n: int) -> tuple[np.ndarray, int]:
+    """names as a text for suffix_array(), and the symbols of a name; n: length of the text that is named."""
+    most = int(names.max()) + 1
+    if most <= max(SYMBOLS, len(names) // 16) or 2 * len(names) > 0.9 * n:  # two digits must be shorter than the text
+        return np.append(names + 1, 0), 1
+    base = int(most**0.5) + 1
+    return np.append(np.stack([names // base + 1, names % base + 1], 1).ravel(), 0), 2
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -98,24 +105,26 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     n = len(text)
     if n == 1:
         return np.zeros(1, np.int32)
-    t = text.astype(np.uint16)
+    t = text.astype(np.uint16 if text.max() < 1 << 16 else np.uint32)  # numpy sorts 16 bits by radix, in linear time
     change = np.flatnonzero(t[1:] != t[:-1])
     next_change = np.repeat(change, np.diff(np.concatenate([[-1], change])))
     small = np.ones(n, bool)
     small[: n - 1] = t[next_change] < t[next_change + 1]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     first = np.concatenate([[0], np.cumsum(np.bincount(t))]).astype(np.int64)
-    by_symbol = lms[np.argsort(t[lms], kind="stable")]
-    sa = _induce(t, small, by_symbol, first)
+    sa = _induce(t, small, lms[np.argsort(t[lms], kind="stable")], first)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    order = sa[is_lms[sa]]
+    order = sa[is_lms[sa]].astype(np.int64)
     ends = np.full(n, n, np.int64)
     ends[lms[:-1]] = lms[1:] + 1
-    content = vec.span(vec.prefix(vec.mix(t.astype(np.uint64) + np.uint64(1))), order.astype(np.int64), ends[order])
     name = np.empty(n, np.int64)
-    name[order] = np.concatenate([[0], np.cumsum(content[1:] != content[:-1])])
-    ranked = _rank(name[lms])
+    name[order] = _names(t, order, ends[order])
+    if name[order[-1]] == len(order) - 1:  # all differ
+        return _induce(t, small, order, first)
+    string, digits = _string(name[lms], n)
+    ranked = suffix_array(string)[1:]
+    ranked = ranked[ranked % digits == 0] // digits
     return _induce(t, small, lms[ranked], first)
 
 

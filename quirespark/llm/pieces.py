@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from . import vec
 from .bpe import _send, read_ranks
+from .common import map_arrow
 
 #: Longer words are walked one by one.
 LONG = 256
@@ -152,7 +153,7 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             n_words, n_tokens, most = [], [], []
             for _, _, data, at in vec.chunks(batch):
                 start, end, of = vec.words(data, at, vec.NONSPACE)
-                _, one, which = np.unique(vec.word_hashes(data, start, end), return_index=True, return_inverse=True)
+                one, which = vec.first_of_equal(data, start, end)
                 each = own.counts(data, start[one], end[one])[which]
                 sums = np.concatenate([[0], np.cumsum(each)])
                 n_words.append(np.diff(of))
@@ -165,4 +166,5 @@ def token_counts(docs: DataFrame, vocabulary_path: str) -> DataFrame:
             join = lambda x: pa.array(np.concatenate(x) if x else [], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), join(n_words), join(n_tokens), join(most)], ["doc_id", "n_words", "n_tokens", "most_in_word"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_words long, n_tokens long, most_in_word long")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return map_arrow(texts, run, "doc_id long, n_words long, n_tokens long, most_in_word long")

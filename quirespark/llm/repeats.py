@@ -1,37 +1,44 @@
 """What the two substring operators share: finding, over the whole corpus, the windows that occur again.
 
 1. Every text is cut into runs of windows with one anchor (anchors.py): equal windows lie in runs of
-   equal anchor hashes. Anchors that occur once are done; that is counted with partial aggregation.
-2. Among the rest, runs of one anchor and one context are copies of each other: a verdict for all their
-   windows follows from their number or order, without looking at symbols.
-3. Where an anchor has several contexts, one run for each context is fetched with its symbols, and a shard of
-   such contexts (whole anchors, bounded by their sum) is given to the solver of the operator.
-   An anchor with more than HOT contexts would not fit a shard: its windows are counted one
-   by one instead, by their hashes, which spreads them over all tasks.
-4. The verdicts are joined back to runs, and runs to texts.
-
-Rows are told apart by (doc_id, hash of text), so rows that are equal in both get one result.
+   equal anchor hashes, at one place in them. Runs whose anchor occurs once are done with.
+2. Runs of one anchor and one context (by 128 bits of BLAKE2b) are copies of each other: a verdict for all their
+   windows follows from their number or order. One of them, the first of the corpus, stands for the class.
+3. Where an anchor has several contexts, the classes' contexts are fetched and refined: each is split by the place of the
+   anchor in its windows, and what all windows of a part have in common is the new, longer anchor. Windows of
+   different parts or anchors differ; parts whose new anchor occurs once are done with, equal parts are one class.
+4. Parts that share an anchor but differ go to the solver of the operator, whole groups in shards of
+   at most SHARD symbols. A group that is larger is refined again, by finer parts, down to single windows, of which all
+   in a group are equal. So no task gets more than a shard, whatever number of texts shares a passage.
+5. The verdicts are joined back to classes, runs and texts.
+
+Hashes of anchors only keep apart what can't be equal. Rows are told apart by (doc_id, hash of text), so rows that are
+equal in both get one result.
 """
 
 from __future__ import annotations
 
 import gc
 from collections.abc import Callable, Iterator
+from hashlib import blake2b
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors, vec
 from .common import cut, map_arrow
 
-#: Symbols of a shard that a solver gets at once.
-SHARD = 1_000_000
-#: Contexts of an anchor beyond which its windows are counted one by one.
-HOT = 20_000
+#: Bytes of the contexts that a solver gets at once.
+SHARD = 500_000
+#: A part has this share of the places that the anchor can have.
+FINER = 4
 NO_ID = -(2**63)
+_RUN = "fp long, c1 long, c2 long, id long, lo int, n int, place int"
+OWN = "array<struct<a:int,b:int>>"
 
 
 class Kind(NamedTuple):
@@ -52,11 +59,39 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(doc_id, F.lit(NO_ID)).alias("id"), F.xxhash64(text).alias("h"), doc_id.alias("doc_id"), text.alias("text"))
 
 
-def symbols(kind: Kind, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not kind.words:
-        return vec.byte_values(data), at
-    start, end, of = vec.words(data, at, vec.NONSPACE)
-    return vec.word_hashes(data, start, end), of
+class Chunk:
+    """The symbols of some texts: as numbers that choose anchors, and as bytes that decide what is equal."""
+
+    def __init__(self, kind: Kind, data: np.ndarray, at: np.ndarray):
+        if kind.words:
+            start, end, self.of = vec.words(data, at, vec.NONSPACE)
+            self.raw, self.begin = vec.joined_words(data, start, end)
+            self.values, self.gap = vec.word_hashes(data, start, end), 1
+        else:
+            self.raw, self.of, self.values, self.gap = data.tobytes(), at, vec.byte_values(data), 0
+            self.begin = None
+
+    def edges(self, first: np.ndarray, last: np.ndarray) -> zip:
+        """Where the bytes of symbols first..last - 1 begin and end."""
+        if self.begin is None:
+            return zip(first.tolist(), last.tolist(), strict=True)
+        return zip(self.begin[first].tolist(), (self.begin[last] - 1).tolist(), strict=True)
+
+
+def _digests(texts: Iterator[bytes], place: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """128 bits for each context and the place of the anchor in it."""
+    both = np.frombuffer(b"".join([blake2b(t, digest_size=16).digest() for t in texts]), np.int64).reshape(-1, 2)
+    return pa.array(both[:, 0] + place), pa.array(both[:, 1])
+
+
+def _anchors(kind: Kind):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, at in vec.chunks(batch):
+                chunk = Chunk(kind, data, at)
+                yield pa.RecordBatch.from_arrays([pa.array(anchors.runs(chunk.values, chunk.of, kind.window, kind.k)[2].view(np.int64))], ["fp"])
+
+    return run
 
 
 def _runs(kind: Kind):
@@ -64,56 +99,69 @@ def _runs(kind: Kind):
         for batch in batches:
             ids, hashes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for row, _, data, at in vec.chunks(batch):
-                values, of = symbols(kind, data, at)
-                lo, hi, anchor, context = anchors.runs(values, of, kind.window, kind.k)
-                text = np.searchsorted(of, lo, "right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[row + text]), pa.array(hashes[row + text]), pa.array((lo - of[text]).astype(np.int32)), pa.array((hi - lo).astype(np.int32)), pa.array(anchor.view(np.int64)), pa.array(context.view(np.int64))],
-                    ["id", "h", "lo", "n", "fp", "ctx"],
-                )
+                chunk = Chunk(kind, data, at)
+                lo, hi, anchor, place = anchors.runs(chunk.values, chunk.of, kind.window, kind.k)
+                text = np.searchsorted(chunk.of, lo, "right") - 1
+                raw = chunk.raw
+                c1, c2 = _digests((raw[a:b] for a, b in chunk.edges(lo, hi - 1 + kind.window)), place)
+                ints = [pa.array(x.astype(np.int32)) for x in (lo - chunk.of[text], hi - lo, place)]
+                yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), c1, c2, pa.array(ids[row + text]), *ints, pa.array(hashes[row + text])], ["fp", "c1", "c2", "id", "lo", "n", "place", "h"])
 
     return run
 
 
 def _fetch(kind: Kind):
-    """From (text, wanted: [(lo, n, fp, ctx)]) the symbols of each wanted run's context."""
+    """From (id, text, wanted: [(fp, c1, c2, lo, n, place)]) the contexts of the wanted runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(batch.schema.get_field_index("wanted"))
-            ids, hashes = batch.column(0), batch.column(1)
+            wanted, ids = batch.column(batch.schema.get_field_index("wanted")), batch.column(batch.schema.get_field_index("id")).to_numpy()
             for row, last, data, at in vec.chunks(batch):
-                values, of = (data, at) if not kind.words else symbols(kind, data, at)
-                out: list[list] = [[] for _ in range(7)]
-                for i in range(row, last):
-                    own = (ids[i].as_py(), hashes[i].as_py())
-                    for w in wanted[i].as_py():
-                        a = int(of[i - row]) + w["lo"]
-                        for column, value in zip(out, (*own, w["lo"], w["n"], w["fp"], w["ctx"], values[a : a + w["n"] + kind.window - 1].tobytes()), strict=True):
-                            column.append(value)
-                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], ["id", "h", "lo", "n", "fp", "ctx", "symbols"])
+                chunk = Chunk(kind, data, at)
+                own = wanted.slice(row, last - row)
+                count = pc.list_value_length(own).to_numpy().astype(np.int64)
+                fields = dict(zip(("fp", "c1", "c2", "lo", "n", "place"), own.flatten().flatten(), strict=True))
+                first = fields["lo"].to_numpy() + np.repeat(chunk.of[:-1], count)
+                raw = chunk.raw
+                texts = [raw[a:b] for a, b in chunk.edges(first, first + fields["n"].to_numpy() + kind.window - 1)]
+                columns = [*(fields[c] for c in ("fp", "c1", "c2")), pa.array(np.repeat(ids[row:last], count)), *(fields[c] for c in ("lo", "n", "place")), pa.array(texts, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "c1", "c2", "id", "lo", "n", "place", "symbols"])
 
     return run
 
 
-def _windows(kind: Kind):
-    """A row for each window of the contexts of hot anchors, with a hash of all its symbols."""
+def _refine(kind: Kind, width: int):
+    """The parts of each context: those of its windows that have the anchor at one of `width` places."""
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple]:
+        window = kind.window
+        rows = {name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)}
+        for i, (n, place, text) in enumerate(zip(rows["n"], rows["place"], rows["symbols"], strict=True)):
+            symbols = text.split(b" ") if kind.words else text
+            cut_out = (lambda a, b, s=symbols: b" ".join(s[a:b])) if kind.words else (lambda a, b, s=symbols: s[a:b])
+            for part in range((place - n + 1) // width, place // width + 1):
+                a, b = part * width, (part + 1) * width
+                first, stop = max(0, place - b + 1), min(n, place - a + 1)
+                common = cut_out(place - a, place - b + 1 + window)
+                yield i, first, stop - first, place - first, blake2b(common, digest_size=8, salt=part.to_bytes(4, "little")).digest(), cut_out(first, stop - 1 + window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                values = np.frombuffer(r["symbols"], np.uint64) if kind.words else vec.byte_values(np.frombuffer(r["symbols"], np.uint8))
-                sums, at = vec.prefix(values), np.arange(r["n"])
-                content = vec.span(sums, at, at + kind.window).view(np.int64)
-                same = lambda v: pa.array(np.full(r["n"], v, np.int64))  # noqa: B023, E731
-                yield pa.RecordBatch.from_arrays([same(r["fp"]), same(r["ctx"]), same(r["id"]), pa.array(r["lo"] + at), pa.array(at), pa.array(content)], ["fp", "ctx", "id", "start", "i", "content"])
+            for lo in range(0, batch.num_rows, 200):
+                held = batch.slice(lo, 200)
+                of, first, n, place, keys, texts = zip(*parts(held), strict=True)
+                place = np.array(place)
+                c1, c2 = _digests(iter(texts), place)
+                parent = held.take(pa.array(of))
+                lo_ = parent.column("lo").to_numpy() + np.array(first)
+                columns = [pa.array(np.frombuffer(b"".join(keys), np.int64)), c1, c2, parent.column("id"), *(pa.array(np.array(x, np.int32)) for x in (lo_, n, place)), pa.array(texts, pa.binary()), *(parent.column(c) for c in ("fp", "c1", "c2")), pa.array(first, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "c1", "c2", "id", "lo", "n", "place", "symbols", "pf", "p1", "p2", "off"])
 
     return run
 
 
 def _free() -> None:
-    """Lets Spark's cleaner drop the shuffle files of plans that are done with."""
+    """Lets Spark's cleaner drop the shuffle files of plans that are done with: the next steps need their disk."""
     from pyspark import SparkContext
 
     gc.collect()
@@ -121,40 +169,63 @@ def _free() -> None:
         SparkContext._jvm.System.gc()
 
 
-def spans(docs: DataFrame, kind: Kind, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def _whole(kind: Kind, own: Column, first: Column) -> Column:
+    """The ranges of a run: all windows of a copy, the class's own ranges otherwise."""
+    again = (first["id"] != F.col("id")) | (first["lo"] != F.col("lo")) if kind.first_stays else F.col("c") > 1
+    return F.when(again, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.coalesce(own, F.array().cast(OWN)))
+
+
+def _moved(ranges: Column, by: Column) -> Column:
+    return F.transform(ranges, lambda x: F.struct((by + x["a"]).alias("a"), (by + x["b"]).alias("b")))
+
+
+def _several(classes: DataFrame) -> DataFrame:
+    """fp of the groups of several classes, with their number and bytes."""
+    size = F.sum(F.octet_length("symbols")) if "symbols" in classes.columns else F.count("*")
+    return classes.groupBy("fp").agg(F.count("*").alias("m"), size.alias("size")).where("m > 1")
+
+
+def _decided(contexts: DataFrame, kind: Kind, width: int, shard: int) -> DataFrame:
+    """(fp, c1, c2, own): the windows that go of each of contexts(fp, c1, c2, id, lo, n, place, symbols), as far as other contexts tell."""
+    parts = cut(map_arrow(contexts, _refine(kind, width), f"{_RUN}, symbols binary, pf long, p1 long, p2 long, off int"), "parts")
+    met = cut(parts.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "part-anchors", True)
+    parts = cut(parts.join(met, "fp"), "met")
+    first = F.min(F.struct("id", "lo", "n", "place", "symbols")).alias("first")
+    classes = cut(parts.groupBy("fp", "c1", "c2").agg(F.count("*").alias("c"), first).select("fp", "c1", "c2", "c", "first.*"), "part-classes")
+    _free()
+    groups = cut(_several(classes), "groups", True)
+    is_small = F.lit(True) if width == 1 else F.col("size") <= shard
+    total, large = groups.agg(F.coalesce(F.sum(F.when(is_small, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_small, 1)), F.lit(0))).first()
+    runs = ("fp", "c1", "c2", "id", "lo", "n", "place", "symbols")
+    dealt = classes.join(groups.where(is_small).select("fp"), "fp").select(*runs, F.pmod(F.xxhash64("fp"), F.lit(1 + total // shard)).alias("shard"))
+    solved = dealt.groupBy("shard").applyInArrow(kind.solve, f"fp long, c1 long, c2 long, own {OWN}")
+    if large:
+        solved = solved.unionByName(_decided(classes.join(groups.where(~is_small).select("fp"), "fp").select(*runs), kind, -(-width // FINER), shard))
+    verdicts = classes.select("fp", "c1", "c2", "c", F.struct("id", "lo").alias("first")).join(solved.where(F.size("own") > 0), ["fp", "c1", "c2"], "left").where("c > 1 or own is not null")
+    verdicts = cut(verdicts, "part-verdicts", True)
+    own = parts.drop("symbols").join(verdicts, ["fp", "c1", "c2"]).select("pf", "p1", "p2", _moved(_whole(kind, F.col("own"), F.col("first")), F.col("off")).alias("own")).where(F.size("own") > 0)
+    own = own.groupBy("pf", "p1", "p2").agg(F.flatten(F.collect_set("own")).alias("own"))  # parts of one context
+    return cut(own.select(F.col("pf").alias("fp"), F.col("p1").alias("c1"), F.col("p2").alias("c2"), "own"), "decided", True)
+
+
+def spans(docs: DataFrame, kind: Kind, shard: int = SHARD) -> DataFrame:
     """(id, h, spans): for each row of keyed(docs) with any, the ranges [start, end) of windows (by their first symbol) that go."""
     texts = keyed(docs)
-    runs = map_arrow(texts.select("id", "h", "text"), _runs(kind), "id long, h long, lo int, n int, fp long, ctx long")
-    again = runs.groupBy("fp").agg(F.count("*").alias("c"), (F.min("ctx") != F.max("ctx")).alias("mixed")).where("c > 1").select("fp", "mixed")
+    again = map_arrow(texts.select("text"), _anchors(kind), "fp long").groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp")
     again = cut(again, "again", True)  # so that the join has two plain exchanges, whose hot partitions AQE splits
     _free()
-    runs = cut(runs.join(again, "fp"), "repeated")
+    runs = cut(map_arrow(texts.select("id", "h", "text"), _runs(kind), f"{_RUN}, h long").join(again, "fp"), "repeated")
     _free()
-    first = F.min(F.struct("id", "lo", "h", "n")).alias("first")
-    classes = cut(runs.groupBy("fp", "ctx").agg(F.count("*").alias("c"), F.first("mixed").alias("mixed"), first), "classes")
-    open_ = classes.where("mixed")
-    total = open_.agg(F.coalesce(F.sum(F.col("first.n") + kind.window), F.lit(0))).first()[0]
-    shards = 1 + total // shard
-    wanted = open_.select("first.id", "first.h", F.struct("first.lo", "first.n", "fp", "ctx").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))  # runs of one text
-    fetched = texts.select("id", "h", "text").join(wanted.hint("shuffle_hash"), ["id", "h"])
-    contexts = map_arrow(fetched, _fetch(kind), "id long, h long, lo int, n int, fp long, ctx long, symbols binary")
-    big = open_.groupBy("fp").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("fp")
-    if not big.isEmpty():
-        contexts, big = cut(contexts, "contexts"), cut(big, "hot", True)
-    small = contexts if big.isEmpty() else contexts.join(big, "fp", "left_anti")
-    solved = small.withColumn("shard", F.pmod(F.xxhash64("fp"), F.lit(shards))).groupBy("shard").applyInArrow(kind.solve, "fp long, ctx long, own array<struct<a:int,b:int>>")
-    if small is not contexts:
-        windows = contexts.join(big, "fp", "left_semi").mapInArrow(_windows(kind), "fp long, ctx long, id long, start long, i long, content long")
-        counted = windows.groupBy("fp", "content").agg(F.count_distinct("ctx").alias("c"), F.min(F.struct("id", "start")).alias("first"))
-        gone = windows.join(counted, ["fp", "content"]).where(F.expr("first.id < id or first.start < start") if kind.first_stays else F.expr("c > 1"))
-        solved = solved.unionByName(gone.groupBy("fp", "ctx").agg(F.array_sort(F.collect_set(F.struct(F.col("i").cast("int").alias("a"), (F.col("i") + 1).cast("int").alias("b")))).alias("own")))  # windows of one run
-    solved = solved.where(F.size("own") > 0)
-    verdicts = classes.join(solved, ["fp", "ctx"], "left").where("c > 1 or own is not null").select("fp", "ctx", "c", F.col("first.id").alias("id0"), F.col("first.lo").alias("lo0"), "own")
-    verdicts = cut(verdicts, "verdicts", True)
+    classes = cut(runs.groupBy("fp", "c1", "c2").agg(F.count("*").alias("c"), F.min(F.struct("id", "lo", "h", "n", "place")).alias("first")), "classes")
+    open_ = classes.join(cut(_several(classes).select("fp"), "groups", True), "fp")
+    wanted = open_.select("first.id", "first.h", F.struct("fp", "c1", "c2", "first.lo", "first.n", "first.place").alias("w")).groupBy("id", "h").agg(F.collect_list("w").alias("wanted"))  # runs of one text
+    fetched = texts.select("id", "h", "text").join(wanted, ["id", "h"]).select("id", "text", "wanted")  # of equal rows each; their copies are one class
+    contexts = map_arrow(fetched, _fetch(kind), f"{_RUN}, symbols binary")
+    own = _decided(contexts, kind, -(-(kind.window - kind.k + 1) // FINER), shard)
+    verdicts = classes.select("fp", "c1", "c2", "c", "first").join(own, ["fp", "c1", "c2"], "left").where("c > 1 or own is not null")
+    verdicts = cut(verdicts.select("fp", "c1", "c2", "c", F.struct("first.id", "first.lo").alias("first"), "own"), "verdicts", True)
     _free()
-    whole: Column = F.expr("id0 <> id or lo0 <> lo") if kind.first_stays else F.expr("c > 1")
-    own = F.when(whole, F.array(F.struct(F.lit(0).alias("a"), F.col("n").alias("b")))).otherwise(F.col("own"))
-    hit = runs.join(verdicts, ["fp", "ctx"]).select("id", "h", F.transform(own, lambda x: F.struct((F.col("lo") + x["a"]).alias("a"), (F.col("lo") + x["b"]).alias("b"))).alias("own")).where(F.size("own") > 0)
+    hit = runs.join(verdicts, ["fp", "c1", "c2"]).select("id", "h", _moved(_whole(kind, F.col("own"), F.col("first")), F.col("lo")).alias("own")).where(F.size("own") > 0)
     return hit.groupBy("id", "h").agg(F.flatten(F.collect_set("own")).alias("spans"))  # those of one text
 
 
@@ -172,8 +243,7 @@ def removed(ranges: np.ndarray, window: int) -> np.ndarray:
 def applied(docs: DataFrame, kind: Kind, act: Callable, schema: str, **sizes: int) -> DataFrame:
     """act's columns for each row: act(batch, the rows' removed runs) -> batch."""
     found = spans(docs, kind, **sizes)
-    texts = keyed(docs)
-    joined = texts.join(found.hint("shuffle_hash"), ["id", "h"], "left").select("doc_id", "text", "spans")
+    joined = keyed(docs).join(found, ["id", "h"], "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

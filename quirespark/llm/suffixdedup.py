@@ -1,8 +1,8 @@
 """Suffix-array dedup: bytes of 200-byte strings that start anywhere else in the corpus go.
 
-The shards of repeats.py, contexts that share an anchor but differ, are concatenated and their suffix array is
-built by induced sorting; suffixes that share 200 bytes or more with their neighbour in it, as the permuted
-common prefixes tell, start such strings.
+The shards of repeats.py, parts of texts that share most of a window but differ, are concatenated and their suffix
+array is built by induced sorting; suffixes that share 200 bytes or more with their neighbour in it, as the
+permuted common prefixes tell, start such strings.
 
 Matches never cross documents; overlapping strings count; all is judged on the input. Defined
 results: null text is empty, nothing of it goes; texts under 200 bytes stay; rows that are equal
@@ -26,11 +26,8 @@ OWN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 def _solver(length: int):
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        fp, ctx = table["fp"].to_numpy(), table["ctx"].to_numpy()
-        _, one = np.unique(np.stack([fp, ctx], 1), axis=0, return_index=True)  # a context that equal rows have both given is one
-        parts = table["symbols"].take(pa.array(one)).to_pylist()
-        n = table["n"].to_numpy()[one].astype(np.int64)
-        data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.int64) + 2
+        parts, n = table["symbols"].to_pylist(), table["n"].to_numpy().astype(np.int64)
+        data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.uint16) + 2
         ends = np.cumsum([len(p) + 1 for p in parts])
         starts = np.concatenate([[0], ends[:-1]])
         data[ends - 1] = 1
@@ -46,9 +43,8 @@ def _solver(length: int):
         before[sa[1:]] = sa[:-1]
         again[near] = True
         again[before[near]] = True
-        flags = again[window >= 0]
-        own = repeats.marks(flags, of)
-        return pa.table({"fp": fp[one], "ctx": ctx[one], "own": pa.array(own, OWN)})
+        own = repeats.marks(again[window >= 0], of)
+        return pa.table({**{c: table[c] for c in ("fp", "c1", "c2")}, "own": pa.array(own, OWN)})
 
     return solve
 

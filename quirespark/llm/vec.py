@@ -74,6 +74,105 @@ def byte_values(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
+#: 2^61 - 1, a prime: polynomials modulo it have no texts that collide by construction, as those modulo 2^64 do.
+PRIME = (1 << 61) - 1
+_P, _LOW30, _LOW31, _LOW60 = (np.uint64((1 << k) - 1) for k in (61, 30, 31, 60))
+#: Values handled at once, so that the steps of a product stay in the processor's cache.
+BLOCK = 1 << 14
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it."""
+    a1, b1 = a >> np.uint64(31), b >> np.uint64(31)
+    a0, b0 = a & _LOW31, b & _LOW31
+    middle = a1 * b0
+    middle += a0 * b1
+    out = a1 * b1
+    out <<= np.uint64(1)
+    out += middle >> np.uint64(30)
+    out += (middle & _LOW30) << np.uint64(31)
+    out += a0 * b0
+    return _reduced(out)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.ones(max(2, n), np.uint64)
+    have = 1
+    while have < len(out):  # the second half is the first times the power in between
+        more = min(have, len(out) - have)
+        out[have : have + more] = _product(out[:more], np.full(more, pow(base, have, PRIME), np.uint64))
+        have += more
+    return out
+
+
+_prime_up = _prime_down = np.ones(1, np.uint64)
+_PRIME_BASE = 0x9E3779B97F4A7C15 % PRIME
+
+
+def exact_prefix(data: np.ndarray) -> np.ndarray:
+    """prefix() of bytes modulo PRIME."""
+    global _prime_up, _prime_down
+    n = len(data)
+    if len(_prime_up) <= n:
+        _prime_up, _prime_down = (_powers(b, max(n + 1, 1 << 16)) for b in (_PRIME_BASE, pow(_PRIME_BASE, -1, PRIME)))
+    out = np.zeros(n + 1, np.uint64)
+    carry = np.uint64(0)
+    for i in range(0, n, BLOCK):
+        term = _product(_BYTE[data[i : i + BLOCK]] & _LOW60, _prime_up[i : min(n, i + BLOCK)])
+        low, high = np.cumsum(term & _LOW31), np.cumsum(term >> np.uint64(31))
+        sums = _reduced((high >> np.uint64(30)) + ((high & _LOW30) << np.uint64(31)) + low)
+        out[i + 1 : i + 1 + len(term)] = _reduced(sums + carry)
+        carry = out[i + len(term)]
+    return out
+
+
+def exact_span(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """span() over exact_prefix(): two different spans of n bytes are equal with a probability of n / 2^61 over the choice of the base."""
+    out = np.empty(len(start), np.uint64)
+    for i in range(0, len(start), BLOCK):
+        a, b = start[i : i + BLOCK], end[i : i + BLOCK]
+        h = _product(_reduced(sums[b] + (_P - sums[a])), _prime_down[a])
+        h += (b - a).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        out[i : i + BLOCK] = mix(h)
+    return out
+
+
+def first_of_equal(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one, which): spans data[start:end] that are all different, and which of them each span is.
+
+    Hashes gather what may be equal, bytes decide.
+    """
+    _, one, which = np.unique(span(prefix(byte_values(data)), start, end), return_index=True, return_inverse=True)
+    lead = one[which]
+    length = end - start
+    same = length == length[lead]
+    shown = np.flatnonzero(same & (lead != np.arange(len(start))))
+    n = length[shown]
+    if len(shown) and n.sum():
+        full = shown[n > 0]
+        n = length[full]
+        shift = np.repeat(start[lead[full]] - start[full], n)
+        edge = np.cumsum(n) - n
+        at = np.arange(n.sum()) - np.repeat(edge - start[full], n)
+        same[full] &= np.logical_and.reduceat(data[at] == data[at + shift], edge)
+    odd = np.flatnonzero(~same)
+    if len(odd):  # spans of one hash that differ: they are told apart one by one
+        raw, held, more = data.tobytes(), {}, []
+        for i in odd.tolist():
+            text = raw[start[i] : end[i]]
+            if text not in held:
+                held[text] = len(one) + len(more)
+                more.append(i)
+            which[i] = held[text]
+        one = np.concatenate([one, more])
+    return one, which
+
+
 def chunks(batch: pa.RecordBatch, column: str = "text", size: int = CHUNK):
     """(first row, last row + 1, bytes, offsets of the rows' texts in them); nulls are empty."""
     texts = batch.column(batch.schema.get_field_index(column))
@@ -109,9 +208,20 @@ def words(data: np.ndarray, at: np.ndarray, table: np.ndarray) -> tuple[np.ndarr
 
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Equal for equal words; some words that differ share a hash, so that it gathers and selects, but doesn't decide."""
     return span(prefix(byte_values(data)), start, end)
 
 
+def joined_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """The words with one space after each, and where each begins there (and the end)."""
+    at = np.concatenate([[0], np.cumsum(end - start + 1)])
+    if not len(start):
+        return b"", at
+    out = data[np.minimum(np.arange(at[-1]) + np.repeat(start - at[:-1], end - start + 1), len(data) - 1)]
+    out[at[1:] - 1] = 0x20
+    return out.tobytes(), at
+
+
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k values from each position; the last k - 1 positions have none."""
     n = max(0, len(hashes) - k + 1)

@@ -189,7 +189,7 @@ def test_secrets(df, docs, spark):
     assert secrets.scan(docs([]))[0].count() == 0
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard": 500, "hot": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"shard": 500}])
 def test_suffix_array(df, docs, sizes):
     length = 60
     count = Counter(b[i : i + length] for _, t in ROWS for b in [(t or "").encode()] for i in range(len(b) - length + 1))
@@ -206,7 +206,7 @@ def test_suffix_array(df, docs, sizes):
     assert suffixdedup.dedup(docs([]), length).count() == 0
 
 
-@pytest.mark.parametrize("sizes", [{}, {"shard": 200, "hot": 2}])
+@pytest.mark.parametrize("sizes", [{}, {"shard": 200}])
 def test_automaton(df, docs, sizes):
     length, first = 8, {}
     key = lambda id_: -(2**63) if id_ is None else id_
