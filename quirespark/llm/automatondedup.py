@@ -3,7 +3,8 @@
 Each shard of repeats.py, parts of texts that share most of a window but differ, is a reference shard: a suffix
 automaton over its word sequences, whose size is bounded by the shard's. The same stretches of the documents
 then stream through it, and their matching statistics, held at the length of a window, lead to the state of each
-window: equal windows have one state. Of a state's windows all but the earliest go. What is earlier is smaller in
+window: equal windows have one state. Of a state's windows all but the earliest go. The words that all windows of a
+part cover, most of them, are one symbol there. What is earlier is smaller in
 doc_id, or in the same document further ahead.
 
 A shard goes to the one task that has its documents instead of to all: all shards together grow with the corpus.
@@ -85,13 +86,17 @@ def _solver(length: int):
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         numbers: dict[bytes, int] = {}
-        texts = [[numbers.setdefault(w, len(numbers)) for w in text.split(b" ")] for text in table["symbols"].to_pylist()]
+        texts = []
+        for text, core, width in zip(table["symbols"].to_pylist(), table["core"].to_pylist(), table["width"].to_pylist(), strict=True):
+            words, end = text.split(b" "), core + length - width + 1
+            shared = b" ".join(words[core:end])  # words have no space: no word of its own unless it is one
+            texts.append([numbers.setdefault(w, len(numbers)) for w in (*words[:core], shared, *words[end:])])
         reference = Automaton()
         for values in texts:
             reference.add(values)
         n = table["n"].to_numpy().astype(np.int64)
         of = np.concatenate([[0], np.cumsum(n)])
-        state = np.array([s for values in texts for s in reference.states(values, length)], np.int64)
+        state = np.array([s for values in texts for s in reference.states(values, width)], np.int64)
         ids = np.repeat(table["id"].to_numpy(), n)
         start = np.repeat(table["lo"].to_numpy() - of[:-1], n) + np.arange(of[-1])
         order = np.lexsort((start, ids, state))

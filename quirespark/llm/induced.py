@@ -1,11 +1,10 @@
-"""Suffix arrays by induced sorting, and permuted longest common prefixes, in numpy.
+"""Suffix arrays by induced sorting, and permuted longest common prefixes.
 
 Suffixes are classed as smaller (S) or larger (L) than the next; the leftmost S of each stretch (LMS)
 cut the text into substrings. These are sorted by induction, named by comparison with their neighbours, and
 sorted as suffixes of the string of their names, by the same routine, until all names differ; the
-order of all suffixes is then induced from theirs. Induction goes bucket by bucket (a first symbol each) and takes
-a bucket's entries at once, in as many waves as the symbol repeats in a row. So that buckets stay few, names beyond
-a small alphabet are written as two digits each: suffixes that start at first digits keep their order.
+order of all suffixes is then induced from theirs. Induction goes once through the array in each direction, over
+plain lists, in linear time whatever the alphabet; classing, naming and prefixes are numpy's.
 """
 
 from __future__ import annotations
@@ -13,61 +12,29 @@ from __future__ import annotations
 import numpy as np
 
 
-def _induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, first: np.ndarray) -> np.ndarray:
+def _induce(t: list[int], small: list[bool], lms: list[int], first: np.ndarray) -> np.ndarray:
     """The suffix array if lms are in order; if only their first symbols are, the order of the LMS substrings."""
-    n, size = len(t), len(first) - 1
-    sa = np.full(n, -1, np.int32)
-    counts = np.bincount(t[lms], minlength=size)
-    upto = np.cumsum(counts)
-    tail = first[1:].copy()
-    sa[np.arange(len(lms)) - np.repeat(upto - counts, counts) + np.repeat(tail - counts, counts)] = lms
-
-    head = first[:-1].copy()
-
-    def spread(values: np.ndarray, symbols: np.ndarray, up: bool) -> None:
-        order = np.argsort(symbols, kind="stable")
-        values, symbols = values[order], symbols[order]
-        counts = np.bincount(symbols, minlength=size)
-        rank = np.arange(len(values)) - np.repeat(np.cumsum(counts) - counts, counts)
-        if up:
-            sa[head[symbols] + rank] = values
-            np.add(head, counts, out=head)
-        else:
-            sa[tail[symbols] - 1 - rank] = values
-            np.subtract(tail, counts, out=tail)
-
-    used = np.flatnonzero(first[1:] > first[:-1])
-    for c in used.tolist():
-        done = int(first[c])
-        while done < head[c]:  # larger ones, among them those that this bucket adds to itself
-            now = sa[done : head[c]]
-            done = int(head[c])
-            before = now[now > 0] - 1
-            before = before[~small[before]]
-            if len(before):
-                spread(before, t[before], True)
-        now = sa[first[c + 1] - counts[c] : first[c + 1]]
-        before = now[now > 0] - 1
-        before = before[~small[before]]
-        if len(before):
-            spread(before, t[before], True)
-    ends = head.copy()  # of the larger ones in each bucket
-    for c in used[::-1].tolist():
-        done = int(first[c + 1])
-        while done > tail[c]:
-            now = sa[int(tail[c]) : done][::-1]
-            done = int(tail[c])
-            before = now[now > 0] - 1
-            before = before[small[before]]
-            if len(before):
-                spread(before, t[before], False)
-        now = sa[first[c] : ends[c]][::-1]
-        before = now[now > 0] - 1
-        before = before[small[before]]
-        if len(before):
-            spread(before, t[before], False)
-    sa[0] = n - 1  # the sentinel
-    return sa
+    sa = [0] * len(t)
+    tail = first[1:].tolist()
+    for i in reversed(lms):
+        tail[t[i]] -= 1
+        sa[tail[t[i]]] = i
+    head = first[:-1].tolist()
+    sa[0] = len(t) - 1  # the sentinel
+    for i in sa:  # larger ones, among them those that are only now put further on
+        if i and not small[i - 1]:
+            c = t[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = first[1:].tolist()
+    for k in range(len(t) - 1, -1, -1):
+        i = sa[k]
+        if i and small[i - 1]:
+            c = t[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    sa[0] = len(t) - 1
+    return np.array(sa)
 
 
 def _names(t: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -84,19 +51,6 @@ def _names(t: np.ndarray, order: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(~same)])
 
 
-#: Most names that are symbols themselves.
-SYMBOLS = 1024
-
-
-def _string(names: np.ndarray, n: int) -> tuple[np.ndarray, int]:
-    """names as a text for suffix_array(), and the symbols of a name; n: length of the text that is named."""
-    most = int(names.max()) + 1
-    if most <= max(SYMBOLS, len(names) // 16) or 2 * len(names) > 0.9 * n:  # two digits must be shorter than the text
-        return np.append(names + 1, 0), 1
-    base = int(most**0.5) + 1
-    return np.append(np.stack([names // base + 1, names % base + 1], 1).ravel(), 0), 2
-
-
 def suffix_array(text: np.ndarray) -> np.ndarray:
     """Starts of the suffixes of text in their order.
 
@@ -104,28 +58,25 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     """
     n = len(text)
     if n == 1:
-        return np.zeros(1, np.int32)
-    t = text.astype(np.uint16 if text.max() < 1 << 16 else np.uint32)  # numpy sorts 16 bits by radix, in linear time
-    change = np.flatnonzero(t[1:] != t[:-1])
+        return np.zeros(1, np.int64)
+    change = np.flatnonzero(text[1:] != text[:-1])
     next_change = np.repeat(change, np.diff(np.concatenate([[-1], change])))
     small = np.ones(n, bool)
-    small[: n - 1] = t[next_change] < t[next_change + 1]
+    small[: n - 1] = text[next_change] < text[next_change + 1]
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
-    first = np.concatenate([[0], np.cumsum(np.bincount(t))]).astype(np.int64)
-    sa = _induce(t, small, lms[np.argsort(t[lms], kind="stable")], first)
+    first = np.concatenate([[0], np.cumsum(np.bincount(text))])
+    t, classes = text.tolist(), small.tolist()
+    sa = _induce(t, classes, lms[np.argsort(text[lms], kind="stable")].tolist(), first)
     is_lms = np.zeros(n, bool)
     is_lms[lms] = True
-    order = sa[is_lms[sa]].astype(np.int64)
-    ends = np.full(n, n, np.int64)
+    order = sa[is_lms[sa]]
+    ends = np.full(n, n)
     ends[lms[:-1]] = lms[1:] + 1
     name = np.empty(n, np.int64)
-    name[order] = _names(t, order, ends[order])
-    if name[order[-1]] == len(order) - 1:  # all differ
-        return _induce(t, small, order, first)
-    string, digits = _string(name[lms], n)
-    ranked = suffix_array(string)[1:]
-    ranked = ranked[ranked % digits == 0] // digits
-    return _induce(t, small, lms[ranked], first)
+    name[order] = _names(text, order, ends[order])
+    if name[order[-1]] < len(order) - 1:  # some are equal; the sentinel's name is 0
+        order = lms[suffix_array(name[lms])]
+    return _induce(t, classes, order.tolist(), first)
 
 
 def permuted_common_prefixes(text: np.ndarray, sa: np.ndarray) -> np.ndarray:

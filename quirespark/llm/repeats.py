@@ -5,7 +5,7 @@
 2. Runs of one anchor and one context (by 128 bits of BLAKE2b) are copies of each other: a verdict for all their
    windows follows from their number or order. One of them, the first of the corpus, stands for the class.
 3. Where an anchor has several contexts, the classes' contexts are fetched and refined: each is split by the place of the
-   anchor in its windows, and what all windows of a part have in common is the new, longer anchor. Windows of
+   anchor in its windows, and the stretch that all windows of a part cover is the new, longer anchor, its core. Windows of
    different parts or anchors differ; parts whose new anchor occurs once are done with, equal parts are one class.
 4. Parts that share an anchor but differ go to the solver of the operator, whole groups in shards of
    at most SHARD symbols. A group that is larger is refined again, by finer parts, down to single windows, of which all
@@ -143,19 +143,19 @@ def _refine(kind: Kind, width: int):
                 a, b = part * width, (part + 1) * width
                 first, stop = max(0, place - b + 1), min(n, place - a + 1)
                 common = cut_out(place - a, place - b + 1 + window)
-                yield i, first, stop - first, place - first, blake2b(common, digest_size=8, salt=part.to_bytes(4, "little")).digest(), cut_out(first, stop - 1 + window)
+                yield i, first, stop - first, place - first, place - a - first, blake2b(common, digest_size=8, salt=part.to_bytes(4, "little")).digest(), cut_out(first, stop - 1 + window)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 held = batch.slice(lo, 200)
-                of, first, n, place, keys, texts = zip(*parts(held), strict=True)
+                of, first, n, place, core, keys, texts = zip(*parts(held), strict=True)
                 place = np.array(place)
                 c1, c2 = _digests(iter(texts), place)
                 parent = held.take(pa.array(of))
                 lo_ = parent.column("lo").to_numpy() + np.array(first)
-                columns = [pa.array(np.frombuffer(b"".join(keys), np.int64)), c1, c2, parent.column("id"), *(pa.array(np.array(x, np.int32)) for x in (lo_, n, place)), pa.array(texts, pa.binary()), *(parent.column(c) for c in ("fp", "c1", "c2")), pa.array(first, pa.int32())]
-                yield pa.RecordBatch.from_arrays(columns, ["fp", "c1", "c2", "id", "lo", "n", "place", "symbols", "pf", "p1", "p2", "off"])
+                columns = [pa.array(np.frombuffer(b"".join(keys), np.int64)), c1, c2, parent.column("id"), *(pa.array(np.array(x, np.int32)) for x in (lo_, n, place)), pa.array(texts, pa.binary()), pa.array(core, pa.int32()), *(parent.column(c) for c in ("fp", "c1", "c2")), pa.array(first, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["fp", "c1", "c2", "id", "lo", "n", "place", "symbols", "core", "pf", "p1", "p2", "off"])
 
     return run
 
@@ -187,17 +187,17 @@ def _several(classes: DataFrame) -> DataFrame:
 
 def _decided(contexts: DataFrame, kind: Kind, width: int, shard: int) -> DataFrame:
     """(fp, c1, c2, own): the windows that go of each of contexts(fp, c1, c2, id, lo, n, place, symbols), as far as other contexts tell."""
-    parts = cut(map_arrow(contexts, _refine(kind, width), f"{_RUN}, symbols binary, pf long, p1 long, p2 long, off int"), "parts")
+    parts = cut(map_arrow(contexts, _refine(kind, width), f"{_RUN}, symbols binary, core int, pf long, p1 long, p2 long, off int"), "parts")
     met = cut(parts.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "part-anchors", True)
     parts = cut(parts.join(met, "fp"), "met")
-    first = F.min(F.struct("id", "lo", "n", "place", "symbols")).alias("first")
+    first = F.min(F.struct("id", "lo", "n", "place", "core", "symbols")).alias("first")
     classes = cut(parts.groupBy("fp", "c1", "c2").agg(F.count("*").alias("c"), first).select("fp", "c1", "c2", "c", "first.*"), "part-classes")
     _free()
     groups = cut(_several(classes), "groups", True)
     is_small = F.lit(True) if width == 1 else F.col("size") <= shard
     total, large = groups.agg(F.coalesce(F.sum(F.when(is_small, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_small, 1)), F.lit(0))).first()
     runs = ("fp", "c1", "c2", "id", "lo", "n", "place", "symbols")
-    dealt = classes.join(groups.where(is_small).select("fp"), "fp").select(*runs, F.pmod(F.xxhash64("fp"), F.lit(1 + total // shard)).alias("shard"))
+    dealt = classes.join(groups.where(is_small).select("fp"), "fp").select(*runs, "core", F.lit(width).alias("width"), F.pmod(F.xxhash64("fp"), F.lit(1 + total // shard)).alias("shard"))
     solved = dealt.groupBy("shard").applyInArrow(kind.solve, f"fp long, c1 long, c2 long, own {OWN}")
     if large:
         solved = solved.unionByName(_decided(classes.join(groups.where(~is_small).select("fp"), "fp").select(*runs), kind, -(-width // FINER), shard))

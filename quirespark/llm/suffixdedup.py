@@ -2,7 +2,8 @@
 
 The shards of repeats.py, parts of texts that share most of a window but differ, are concatenated and their suffix
 array is built by induced sorting; suffixes that share 200 bytes or more with their neighbour in it, as the
-permuted common prefixes tell, start such strings.
+permuted common prefixes tell, start such strings. The stretch that all windows of a part cover, most of it, is
+written there as its number in the shard (equal ones, by their bytes, have one).
 
 Matches never cross documents; overlapping strings count; all is judged on the input. Defined
 results: null text is empty, nothing of it goes; texts under 200 bytes stay; rows that are equal
@@ -20,25 +21,37 @@ from pyspark.sql import DataFrame
 from . import induced, repeats, vec
 
 LENGTH = 200
+#: Symbols for the digits of numbers, beside those of the bytes.
+BASE = 250
 OWN = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
 
 
 def _solver(length: int):
     def solve(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        parts, n = table["symbols"].to_pylist(), table["n"].to_numpy().astype(np.int64)
-        data = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8).astype(np.uint16) + 2
-        ends = np.cumsum([len(p) + 1 for p in parts])
-        starts = np.concatenate([[0], ends[:-1]])
-        data[ends - 1] = 1
-        text = np.append(data, 0)
+        n = table["n"].to_numpy().astype(np.int64)
+        numbers: dict[bytes, int] = {}
+        split = []
+        for text, core, width in zip(table["symbols"].to_pylist(), table["core"].to_pylist(), table["width"].to_pylist(), strict=True):
+            end = core + length - width + 1
+            split.append((text[:core], numbers.setdefault(text[core:end], len(numbers)), text[end:], width))
+        digits = 1 + (len(numbers) > BASE) + (len(numbers) > BASE**2)
+        sizes = np.array([len(a) + digits + len(b) + 1 for a, _, b, _ in split])
+        starts = np.cumsum(sizes) - sizes
+        filler = bytes(digits)
+        data = np.frombuffer(b"".join([x for a, _, b, _ in split for x in (a, filler, b, b"\0")]), np.uint8).astype(np.int64) + 2
+        at, core = starts + np.array([len(a) for a, *_ in split]), np.array([c for _, c, *_ in split])
+        for k in range(digits):
+            data[at + k] = 2 + 256 + core // BASE**k % BASE
+        data[starts + sizes - 1] = 1
+        text, reach = np.append(data, 0), split[0][3] - 1 + digits
         sa = induced.suffix_array(text)
         common = induced.permuted_common_prefixes(text, sa)
         of = np.concatenate([[0], np.cumsum(n)])
         window = np.full(len(text), -1, np.int64)  # which window starts at a place
         window[np.repeat(starts - of[:-1], n) + np.arange(of[-1])] = np.arange(of[-1])
         again = np.zeros(len(text), bool)
-        near = np.flatnonzero(common >= length)
+        near = np.flatnonzero(common >= reach)
         before = np.empty(len(text), np.int64)
         before[sa[1:]] = sa[:-1]
         again[near] = True
