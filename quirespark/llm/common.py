@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where that is unset (tests), a folder of this session."""
+    """The folder that spark.checkpoint.dir names; only where that is unset and all runs on this machine (tests), a folder of this session."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quirespark-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -26,12 +28,10 @@ def cut(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it back: what follows doesn't run df again, and a lost executor loses none of it.
 
     rebalance: the table is much smaller than what it is made from; AQE chooses the number of its files by size.
-    It has four files for each core at most, or a sixteenth of the shuffle partitions: a task then takes several of these, one after the other.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    files = max(8, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)
-    (df.hint("rebalance") if rebalance else df).coalesce(files).write.parquet(path)
+    (df.hint("rebalance") if rebalance else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -57,15 +57,16 @@ def components(links: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds, each an aggregation and an equi-join, until
     every node hangs directly on the smallest of its component. No group is gathered in a task:
-    minima are aggregated before the shuffle, and the join back is one that AQE can split.
+    minima are aggregated before the shuffle and written, so that both sides of the join back have plain
+    exchanges, whose partitions AQE splits where many edges share a node.
     """
     stars = cut(links.where("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links", True)
     seen = None
     while True:
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", True)
+        large = cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), "large", True)
+        least = cut(large.groupBy("u").agg(F.min("v").alias("m")), "least", True)
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v")
         stars = cut(small.distinct(), "stars", True)
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -3,17 +3,19 @@
 The subwords of a text are the byte n-grams (2 to 4) of its words, lower-cased, letters only, with
 their borders, hashed into BUCKETS. A text is the mean of their embeddings, a linear layer and a
 softmax give the languages. Embeddings and layer are trained together by stochastic gradient
-descent in numpy, then a temperature is fitted on examples held back. Because the layer is linear in the
+descent in numpy; beside the examples they learn texts in no language, made from examples by dealing their letters
+anew over their places, with all languages alike as their goal. Then a temperature is fitted on texts held back. Because the layer is linear in the
 mean, a bucket's embedding and the layer fold into one row of scores, and a text costs a histogram.
 
-Rejection is calibrated on the same examples: a text is rejected when its score is below what all but
-REJECTED of the rightly labelled ones reach, or when it has no letter. Of fewer than 1 / REJECTED of them
-that is the lowest, below which more than REJECTED of other rightly labelled texts can lie.
+Rejection is calibrated on the same texts of both kinds. A text is rejected when it has no letter or its score is below the threshold: half-way between what
+all but REJECTED of the rightly labelled ones reach and what all but REJECTED of the texts in no language stay
+below, or the former alone if that is the smaller. Of fewer than 1 / REJECTED texts that is the lowest or highest.
 
-Examples are at most PER_LANGUAGE documents of each language, those of the smallest hashes of doc_id;
-only text and language are used. Defined results: null text, or text without a letter, is `und`
-with score 0; without a labelled example every text is `und`; a single language is learned as a
-constant; every row gets its own result, equal doc_ids too; extra columns are ignored.
+Examples are at most PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, those of the smallest
+hashes of doc_id among texts of at most EXAMPLE_BYTES; only text and language are used. Defined results:
+null text, or text without a letter, is `und` with score 0; without a labelled example every text is `und`; a single language
+is learned as a constant; every row gets its own result, equal doc_ids too; bytes that aren't UTF-8 count as U+FFFD;
+extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,8 +34,8 @@ from . import vec
 from .common import map_arrow
 
 UNKNOWN = "und"
-#: Most examples of a language, and most languages; both bound what the driver gets.
-PER_LANGUAGE, LANGUAGES = 600, 200
+#: Most examples of a language, most languages and most bytes of an example; they bound what the driver gets.
+PER_LANGUAGE, LANGUAGES, EXAMPLE_BYTES = 600, 200, 1 << 15
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 8, 32, 2.0
 #: Share of rightly labelled examples held back that calibration lets go, at most; and what one score may differ by rounding.
@@ -46,6 +48,8 @@ class Model(NamedTuple):
     scores: np.ndarray  # a row for each bucket: embedding times layer, over temperature
     bias: np.ndarray
     threshold: float
+    #: Share of the texts in no language that the threshold rejects.
+    caught: float = 0.0
 
 
 def subwords(text: str) -> np.ndarray:
@@ -65,6 +69,14 @@ def subwords(text: str) -> np.ndarray:
     return np.concatenate(out)
 
 
+def garbled(text: str, rng: np.random.Generator) -> str:
+    """text with its letters dealt anew over their places: no language, but the same letters and lengths of words."""
+    letters = np.array([c.isalpha() for c in text], bool)
+    out = np.array(list(text))
+    out[letters] = rng.permutation(out[letters])
+    return "".join(out.tolist())
+
+
 def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
@@ -86,13 +98,16 @@ def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
     if len(languages) < 2:
         return Model(languages, np.zeros((BUCKETS, len(languages)), np.float32), np.zeros(len(languages), np.float32), 0.0)
     rng = np.random.default_rng(seed)
-    order = rng.permutation(len(examples))
-    parts = [subwords(examples[i][0]).astype(np.int32) for i in order]
-    y = np.array([languages.index(examples[i][1]) for i in order])
-    held = max(1, len(order) // 5)
+    examples = [examples[i] for i in rng.permutation(len(examples))]
+    held = max(1, len(examples) // 5)
+    strange = [garbled(text, rng) for i, (text, _) in enumerate(examples) if i < held or i % 3 == 0]
+    parts = [subwords(text).astype(np.int32) for text in (*(x[0] for x in examples), *strange)]
+    y = np.array([languages.index(lang) for _, lang in examples])
+    goal = np.full((len(parts), len(languages)), 1 / len(languages), np.float32)
+    goal[: len(y)] = np.eye(len(languages), dtype=np.float32)[y]
     embed = rng.normal(0, 1 / WIDTH, (BUCKETS, WIDTH)).astype(np.float32)
     layer, bias = rng.normal(0, 0.1, (WIDTH, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
-    fit = np.arange(held, len(order))
+    fit = np.concatenate([np.arange(held, len(y)), np.arange(len(y) + held, len(parts))])
 
     def grid(rows: np.ndarray) -> np.ndarray:
         return np.stack([(h := np.bincount(parts[r], minlength=BUCKETS).astype(np.float32)) / max(1, h.sum()) for r in rows])
@@ -104,22 +119,25 @@ def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
             rows = fit[i : i + BATCH]
             x = grid(rows)
             mean = x @ embed
-            wrong = _softmax(mean @ layer + bias)
-            wrong[np.arange(len(rows)), y[rows]] -= 1
-            wrong /= len(rows)
+            wrong = (_softmax(mean @ layer + bias) - goal[rows]) / len(rows)
             back = wrong @ layer.T
             layer -= rate * (mean.T @ wrong)
             bias -= rate * wrong.sum(0)
             embed -= rate * BUCKETS**0.5 * (x.T @ back)
     scores = embed @ layer
-    logits = np.concatenate([grid(np.arange(i, min(held, i + 256))) @ scores + bias for i in range(0, held, 256)])
+    kept_back = np.concatenate([np.arange(held), np.arange(len(y), len(y) + held)])
+    logits = np.concatenate([grid(kept_back[i : i + 256]) @ scores + bias for i in range(0, 2 * held, 256)])
     heats = np.geomspace(0.05, 20, 60)
-    loss = [-np.log(np.maximum(_softmax(logits / t)[np.arange(held), y[:held]], 1e-12)).mean() for t in heats]
+    loss = [-(goal[kept_back] * np.log(np.maximum(_softmax(logits / t), 1e-12))).sum(1).mean() for t in heats]
     heat = float(heats[int(np.argmin(loss))])
     p = _softmax(logits / heat)
-    right = np.sort(p.max(1)[p.argmax(1) == y[:held]])
+    right, none = np.sort(p[:held].max(1)[p[:held].argmax(1) == y[:held]]), np.sort(p[held:].max(1))
     threshold = float(right[int(REJECTED * len(right))]) - ROUNDING if len(right) else 0.0
-    return Model(languages, (scores / heat).astype(np.float32), bias / heat, max(threshold, 1 / len(languages) + 1e-6))
+    most = float(none[len(none) - 1 - int(REJECTED * len(none))])
+    if most < threshold:
+        threshold = (threshold + most) / 2
+    threshold = max(threshold, 1 / len(languages) + 1e-6)
+    return Model(languages, (scores / heat).astype(np.float32), bias / heat, threshold, float((none < threshold).mean()))
 
 
 def _predict(shared: Broadcast):
@@ -151,19 +169,24 @@ def remainder(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of docs(doc_id, text, lang): rows whose remainder is not 2, at most per_language of each language."""
-    open_ = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text").where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 2)
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    drawn = open_.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language)  # the limit is applied before the shuffle too
-    drawn = drawn.orderBy("place", "lang").limit(per_language * LANGUAGES).select("doc_id", "lang").collect()
-    ids = docs.sparkSession.createDataFrame(drawn, "doc_id long, lang string")
-    rows = open_.join(F.broadcast(ids), ["doc_id", "lang"]).select("text", "lang").collect()  # per_language texts of each language
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
+    open_ = known.where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 2).where(F.octet_length("text") <= EXAMPLE_BYTES)
+    counts = open_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return train([])
+    # Of each language so many small hashes that the smallest per_language of them are among these: three times as many, and all where there are few.
+    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 3 * (per_language + 100) / r.n)) for r in counts], "lang string, share double")
+    draw = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("draw")
+    near = open_.join(F.broadcast(share), "lang").withColumn("draw", draw).where("draw <= share")  # a row for each of LANGUAGES at most
+    first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
+    rows = near.select("lang", "doc_id", "draw", "text").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("text", "lang").collect()
     return train([(r.text, r.lang) for r in rows])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score, rejected of each row of docs(doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
     return map_arrow(texts, _predict(shared), "doc_id long, lang_pred string, score double, rejected boolean")
 
 
@@ -171,6 +194,6 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs, as they are, that identify() doesn't reject."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    tagged = docs.select(F.lit(0).alias("doc_id"), F.col("text").cast("string").alias("text"), row)
+    tagged = docs.select(F.lit(0).alias("doc_id"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"), row)
     kept = map_arrow(tagged, _predict(shared), T.StructType([T.StructField("doc_id", T.IntegerType()), T.StructField("row", tagged.schema["row"].dataType), *T._parse_datatype_string("lang_pred string, score double, rejected boolean").fields]))
     return kept.where("not rejected").select("row.*")

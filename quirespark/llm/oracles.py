@@ -43,7 +43,7 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def _op1() -> str:
-    templates = ", ".join(f"({k}, '{label}', {sorted(set(text.split()))})" for k, (label, text) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join(f"({k}, '{t.label}', {t.words}, {list(t.must)}, {t.need(licenses.THRESHOLD)})" for k, t in enumerate(licenses.TEMPLATES))
     phrases = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in licenses.BASE.items())
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_LOWER}, '') AS low FROM documents),
@@ -53,15 +53,21 @@ place AS (
   SELECT r, label, i - 1 AS start FROM (SELECT r, label, words, w, unnest(range(1, len(w) - len(words) + 2)) AS i FROM w, p WHERE len(w) >= len(words)) WHERE w[i:i + len(words) - 1] = words
 ),
 base AS (SELECT r, count(*) AS n_base, min(start) AS first_word, max(start) AS last_word, list_distinct(list(label)) AS bl FROM place GROUP BY 1),
-t(k, label, words) AS (VALUES {templates}),
-blocks AS (SELECT r, i, list_distinct(regexp_extract_all(bl[i], '{licenses.WORD}')) AS b FROM (SELECT r, bl, unnest(range(1, len(bl) + 1)) AS i FROM w)),
-m AS (
-  SELECT r, i, label, list_intersect(words, b) AS shared, len(list_intersect(words, b)) / len(words) AS score FROM blocks, t
-  WHERE len(list_intersect(words, b)) >= ceil({licenses.THRESHOLD} * len(words) - 1e-9)
+t(k, label, words, must, need) AS (VALUES {templates}),
+blocks AS (SELECT r, i, regexp_extract_all(bl[i], '{licenses.WORD}') AS b FROM (SELECT r, bl, unnest(range(1, len(bl) + 1)) AS i FROM w)),
+near AS (
+  SELECT r, i, k, label, words, must, need, b FROM blocks, t
+  WHERE len(list_filter(must, lambda m: NOT contains(' ' || array_to_string(b, ' ') || ' ', ' ' || m || ' '))) = 0 AND len(list_intersect(words, b)) >= need
 ),
+win AS (SELECT r, i, k, label, words, must, need, s, b[s + 1:s + {licenses.REACH} * len(words)] AS own FROM (SELECT *, unnest(range(0, len(b))) AS s FROM near)),
+fit AS (
+  SELECT r, i, k, label, s, {licenses.REACH} * len(words) AS reach, list_intersect(words, own) AS shared, len(list_intersect(words, own)) / len(words) AS score FROM win
+  WHERE len(list_filter(must, lambda m: NOT contains(' ' || array_to_string(own, ' ') || ' ', ' ' || m || ' '))) = 0 AND len(list_intersect(words, own)) >= need
+),
+m AS (SELECT * FROM fit QUALIFY row_number() OVER (PARTITION BY r, i, k ORDER BY len(shared) DESC, s) = 1),
 kept AS (
   SELECT r, label, score FROM m x WHERE NOT EXISTS (
-    SELECT 1 FROM m y WHERE y.r = x.r AND y.i = x.i AND (y.score > x.score OR y.score = x.score AND len(y.shared) > len(x.shared)) AND list_has_all(y.shared, x.shared))
+    SELECT 1 FROM m y WHERE y.r = x.r AND y.i = x.i AND y.s < x.s + x.reach AND x.s < y.s + y.reach AND (y.score > x.score OR y.score = x.score AND len(y.shared) > len(x.shared)) AND list_has_all(y.shared, x.shared))
 ),
 more AS (SELECT r, list_distinct(list(label)) AS ml, max(score) AS best FROM kept GROUP BY 1)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

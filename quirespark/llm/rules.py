@@ -147,12 +147,12 @@ def expression(rules: list[list[Test]]) -> Column:
 
 
 def learn_from(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> list[list[Test]]:
-    """Rules from at most `examples` labelled documents: labels(doc_id, quality), 0 is low."""
+    """Rules from at most `examples` rows of labelled documents: labels(doc_id, quality), 0 is low."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("quality") == 0).alias("low"))
     drawn = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(drawn), "doc_id")  # at most `examples` ids
-    rows = statistics(own.select("doc_id", "text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "low", *FEATURES).collect()  # numbers only
-    rows = sorted(rows, key=lambda r: (hash(r.doc_id * 2654435761 % 2**32), tuple(r)))[: 2 * examples]
+    numbers = statistics(own.select("doc_id", "text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "low", *FEATURES)
+    rows = numbers.orderBy(F.xxhash64("doc_id"), *numbers.columns).limit(examples).collect()  # one document may have several rows
     if not rows:
         return []
     return learn(np.array([[r[f] for f in FEATURES] for r in rows], float), np.array([r.low for r in rows], bool))

@@ -1,9 +1,9 @@
 """Secret scans with an incremental blob ledger.
 
-Every text is a blob, addressed by its SHA-256. A ledger lists the (blob, rule, version) triples
-that were scanned; only triples outside it are scanned, each blob once however many rows hold it,
-and findings are joined back to all rows. A later run with the returned ledger and new rule versions
-or new texts scans just those. DataFrame functions only.
+Every text is a blob, addressed by its SHA-256. A ledger lists, for each blob, the rules and versions that it was
+scanned for and what they found; only (blob, rule, version) triples outside it are scanned, each blob once however many
+rows hold it, and findings are joined from the ledger back to all rows. A first run has an empty ledger; a later
+one with the returned ledger and new rule versions or new texts scans just those. DataFrame functions only.
 
 A rule's matches are leftmost and non-overlapping; those that fail its length test are dropped.
 Positions are code points, end exclusive.
@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut
@@ -32,12 +32,13 @@ class Rule(NamedTuple):
 
 
 #: Kinds in their order. In `hex` and `access` the length is part of the pattern: a run of the
-#: class is matched from its start, so those that are too short never hide another match.
+#: class is matched from its start, so those that are too short never hide another match. A key without its END
+#: line ends with the last of its lines, which have 16 or more letters; 60 of them hold the longest usual keys.
 RULES = [
     Rule("assign", 1, r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", 1, r"AKIA[A-Z0-9]{16,}", base=True),
     Rule("hex", 1, r"[0-9a-f]{24,}", base=True),
-    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\x09-\x0D\x20]*(?:-----END [A-Z ]{0,20}PRIVATE KEY-----)?"),
+    Rule("pem", 1, r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----(?:[A-Za-z0-9+/=\x09-\x0D\x20]*-----END [A-Z ]{0,20}PRIVATE KEY-----|(?:[\x09-\x0D\x20]+[A-Za-z0-9+/=]{16,}){0,60})"),
     Rule("github", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", 1, r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
@@ -66,48 +67,45 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(F.size(matches) > 0, located())
 
 
-def unseen(blobs: DataFrame, ledger: DataFrame | None, rules: list[Rule]) -> DataFrame:
-    """(blob, ranks): for each of blobs(blob) the places in rules of those that the ledger doesn't list for it."""
-    pairs = blobs.select("blob", F.posexplode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])).alias("rank", "r"))
-    pairs = pairs.select("blob", "rank", "r.kind", "r.version")
-    if ledger is not None:
-        pairs = pairs.join(ledger.select("blob", "kind", "version").distinct(), ["blob", "kind", "version"], "left_anti")
-    return pairs.groupBy("blob").agg(F.collect_set("rank").alias("ranks"))
+_ENTRIES = f"array<struct<kind:string,version:int,spans:{SPANS}>>"
+
+
+def empty_ledger(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], f"blob binary, entries {_ENTRIES}")
+
+
+def unseen(blobs: DataFrame, ledger: DataFrame, rules: list[Rule]) -> DataFrame:
+    """blobs(blob, ...) with ranks, the places in rules of those that the ledger doesn't list for the blob; only where there is any."""
+    listed = F.coalesce(F.transform("entries", lambda e: F.struct(e["kind"].alias("kind"), e["version"].alias("version"))), F.array().cast("array<struct<kind:string,version:int>>"))
+    held = blobs.join(ledger.select("blob", "entries"), "blob", "left").withColumn("listed", listed).drop("entries")
+    new = [F.when(~F.array_contains("listed", F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"))), F.lit(k)) for k, r in enumerate(rules)]
+    return held.withColumn("ranks", F.filter(F.array(*new), lambda k: k.isNotNull())).drop("listed").where(F.size("ranks") > 0)
 
 
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: list[Rule] = RULES) -> tuple[DataFrame, DataFrame]:
     """(findings, ledger): findings(doc_id, blob, spans) for each row of docs(doc_id, text), and the ledger with what was scanned now.
 
-    The ledger is (blob binary, kind, version, spans); earlier findings come from it.
+    The ledger is (blob binary, entries), a row for each blob; without one, an empty one is begun.
     """
+    before = empty_ledger(docs.sparkSession) if ledger is None else ledger
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     addressed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(text, 256)).alias("blob"), text.alias("text"))
     paths = cut(addressed.select("doc_id", "blob"), "paths")
     holders = paths.groupBy("blob").agg(F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("holder"))
-    if ledger is None:
-        wanted = holders
-    else:
-        wanted = holders.join(unseen(holders, ledger, rules), "blob")
+    wanted = cut(unseen(holders, before, rules), "unseen", True)
     keyed = addressed.select("blob", F.coalesce("doc_id", F.lit(-(2**63))).alias("holder"), "text")
-    texts = keyed.join(wanted.hint("shuffle_hash"), ["blob", "holder"])
-    found = []
-    for rank, rule in enumerate(rules):
-        spans = F.coalesce(_spans(F.col("text"), rule, rank), F.array().cast(SPANS))
-        found.append((spans if ledger is None else F.when(F.array_contains("ranks", F.lit(rank)), spans)).alias(f"spans_{rank}"))
-    scanned = texts.select("blob", *found)
+    texts = keyed.join(wanted, ["blob", "holder"])
+    found = [F.when(F.array_contains("ranks", F.lit(k)), F.coalesce(_spans(F.col("text"), r, k), F.array().cast(SPANS))).alias(f"spans_{k}") for k, r in enumerate(rules)]
     each = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.col(f"spans_{k}").alias("spans")) for k, r in enumerate(rules)])
-    scanned = cut(scanned.select("blob", F.filter(each, lambda e: e["spans"].isNotNull()).alias("e")).groupBy("blob").agg(F.first("e").alias("e")), "scanned")
-    entries = scanned.select("blob", F.explode("e").alias("e")).select("blob", "e.kind", "e.version", "e.spans")
-    if ledger is None:
-        by_blob = scanned.select("blob", F.array_sort(F.flatten(F.transform("e", lambda e: e["spans"]))).alias("spans")).where(F.size("spans") > 0)
-        whole = entries
-    else:
-        whole = ledger.select("blob", "kind", "version", "spans").unionByName(entries)
-        current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
-        own = whole.where(F.array_contains(current, F.struct("kind", "version")) & (F.size("spans") > 0))
-        by_blob = own.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("spans"))
+    scanned = texts.select("blob", *found).select("blob", F.filter(each, lambda e: e["spans"].isNotNull()).cast(_ENTRIES).alias("new"))
+    scanned = cut(scanned.groupBy("blob").agg(F.first("new").alias("new")), "scanned")  # equal rows have scanned it alike
+    none = F.array().cast(_ENTRIES)
+    after = before.join(scanned, "blob", "full_outer").select("blob", F.concat(F.coalesce("entries", none), F.coalesce("new", none)).alias("entries"))
+    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    own = F.filter("entries", lambda e: F.array_contains(current, F.struct(e["kind"].alias("kind"), e["version"].alias("version"))))
+    by_blob = after.select("blob", F.array_sort(F.flatten(F.transform(own, lambda e: e["spans"]))).alias("spans")).where(F.size("spans") > 0)
     findings = paths.join(by_blob, "blob", "left").select("doc_id", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
-    return findings, whole
+    return findings, after
 
 
 def said(spans: Column) -> Column:

@@ -14,6 +14,7 @@ get their own result; extra columns are ignored; an empty benchmark hits nothing
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -124,9 +125,21 @@ def tables(items: list[tuple[int, str | None]], window: int = WINDOW) -> list[Pa
     return out
 
 
+_held: dict[tuple[str, int], list[Patterns]] = {}
+
+
+def _searched(shard: tuple[str, list[tuple[int, str]]], window: int) -> list[Patterns]:
+    """The tables of a shard, built once in a worker, which holds those of one shard at a time."""
+    key = (shard[0], window)
+    if key not in _held:
+        _held.clear()
+        _held[key] = tables(shard[1], window)
+    return _held[key]
+
+
 def _search(shard: Broadcast, window: int, keep_text: bool):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searched = tables(shard.value, window)
+        searched = _searched(shard.value, window)
         for batch in batches:
             n_words: list[int] = []
             held = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
@@ -169,9 +182,9 @@ def _shard_count(benchmark: DataFrame) -> int:
     return 1 + _items(benchmark).agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // SHARD_BYTES
 
 
-def _shard(benchmark: DataFrame, k: int, n: int) -> list[tuple[int, str]]:
-    """Part k of the benchmark's n, about SHARD_BYTES of text; the sum over all was taken before."""
-    return [(r.item_id, r.text) for r in _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+def _shard(benchmark: DataFrame, k: int, n: int) -> tuple[str, list[tuple[int, str]]]:
+    """A name and part k of the benchmark's n, about SHARD_BYTES of text; the sum over all was taken before."""
+    return uuid.uuid4().hex, [(r.item_id, r.text) for r in _items(benchmark).where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -78,15 +78,34 @@ def test_licenses(df, docs):
 
 
 def test_license_join_is_whole(docs):
-    """Every block that contains enough of a template is found, and no other."""
+    """Every block with a window that holds enough of a template is found, and no other."""
     rng = random.Random(2)
     vocabulary = [f"t{i}" for i in range(14)]
-    templates = [(f"l{k}", " ".join(rng.sample(vocabulary, rng.randrange(1, 9)))) for k in range(25)]
-    texts = [(i, " ".join(rng.choices([*vocabulary, "other", "more"], k=rng.randrange(0, 14)))) for i in range(300)]
+    templates = []
+    for k in range(25):
+        words = rng.sample(vocabulary, rng.randrange(1, 9))
+        templates.append(licenses.Template(f"l{k}", " ".join(words), (words[0], " ".join(words[-2:])) if k % 2 else (words[0],)))
+    texts = [(i, " ".join(rng.choices([*vocabulary, "other", "more"], k=rng.randrange(0, 24)))) for i in range(300)]
     rows, matches = licenses.license_matches(docs(texts), templates, 0.7)
-    got = {(r.doc_id, m.template) for m in matches.join(rows, "row").select("doc_id", "template").collect() for r in [m]}
-    want = {(i, k) for i, text in texts for k, (_, t) in enumerate(templates) if len(set(t.split()) & set(text.split())) >= 0.7 * len(set(t.split())) - 1e-9}
-    assert got == want
+    got = {(r.doc_id, r.template, tuple(r.shared), r["at"]) for r in matches.join(rows, "row").collect()}
+    want = set()
+    for i, text in texts:
+        words = text.split()
+        for k, t in enumerate(templates):
+            reach, best = licenses.REACH * len(t.words), None
+            for s in range(len(words)):
+                own = words[s : s + reach]
+                shared = sorted(set(own) & set(t.words))
+                if len(shared) >= 0.7 * len(t.words) - 1e-9 and all(f" {m} " in f" {' '.join(own)} " for m in t.must) and (best is None or len(shared) > len(best[0])):
+                    best = (shared, s)
+            if best:
+                want.add((i, k, tuple(best[0]), best[1]))
+    assert got == want and len(got) > 50
+
+
+def test_license_words_far_apart_give_no_label(docs):
+    texts = [(1, "Licensed under the Apache License. Fahren wir mit " + "dem Zug " * 9 + "released"), (2, "Licensed under CC BY 4.0 " + "x " * 9 + "nd sa nc"), (3, "MIT: released under the MIT license"), (4, "Released under the Licence mit Zug license")]
+    assert {r.doc_id: r.labels for r in licenses.scan(docs(texts)).collect()} == {1: "apache", 2: "cc-by", 3: "mit", 4: ""}
 
 
 def test_language(spark, docs):
@@ -172,6 +191,14 @@ def spans_of(text):
     return sorted(out)
 
 
+def test_key_without_end_leaves_prose(docs):
+    key = "-----BEGIN PRIVATE KEY-----"
+    lines = "\n" + "Ab1+" * 16 + "\n" + "Zz9/" * 9
+    texts = {1: key + "\nabc\n\nHere follows ordinary prose of some length.", 2: key + lines + "\n\nand prose", 3: key + lines + "=\n-----END PRIVATE KEY----- tail"}
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans if s.kind == "pem"] for r in secrets.scan(docs(list(texts.items())))[0].collect()}
+    assert got == {1: [(0, len(key))], 2: [(0, len(key + lines))], 3: [(0, len(texts[3]) - 5)]}
+
+
 def test_secrets(df, docs, spark):
     findings, ledger = secrets.scan(df)
     compare([(r.doc_id, tuple(tuple(s) for s in r.spans)) for r in findings.collect()], [(i, tuple(spans_of(t))) for i, t in ROWS])
@@ -182,8 +209,11 @@ def test_secrets(df, docs, spark):
     bumped = [r._replace(version=2) if r.kind == "hex" else r for r in secrets.RULES]
     found, whole = secrets.scan(more, ledger, bumped)
     compare([(r.doc_id, tuple(tuple(s) for s in r.spans)) for r in found.collect()], [(i, tuple(spans_of(t))) for i, t in [*ROWS, (900, "new password=abcdef123")]])
-    blobs = len({t or "" for _, t in ROWS})
-    assert ledger.count() == blobs * len(secrets.RULES) and whole.count() == ledger.count() + blobs + len(secrets.RULES)
+    blobs, listed = len({t or "" for _, t in ROWS}), lambda x: x.selectExpr("sum(size(entries))").first()[0]
+    assert ledger.count() == blobs and listed(ledger) == blobs * len(secrets.RULES)
+    assert whole.count() == blobs + 1 and listed(whole) == listed(ledger) + blobs + len(secrets.RULES)
+    assert secrets.unseen(ledger.select("blob"), ledger, secrets.RULES).count() == 0
+    assert {tuple(r.ranks) for r in secrets.unseen(ledger.select("blob"), ledger, bumped).collect()} == {(2,)}
     text = "a password=abcdef12 b"
     assert spark.createDataFrame([(text,)], "text string").select(secrets.masked(__import__("pyspark").sql.functions.col("text"), __import__("pyspark").sql.functions.expr("array(named_struct('start', 2L, 'rank', 0, 'kind', 'assign', 'end', 19L))"))).first()[0] == "a [SECRET] b"
     assert secrets.scan(docs([]))[0].count() == 0
