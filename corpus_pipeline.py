@@ -23,7 +23,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one of the smallest doc_id (of rows with one doc_id, one)."""
     gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    kept = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
+    kept = docs.join(gone, "doc_id", "left_anti")
     again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
     if again.isEmpty():
         return kept.select(docs.columns)
@@ -42,7 +42,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     hits = findings.where(F.size("spans") > 0).groupBy("blob").agg(F.first("spans").alias("spans"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     rows = docs.select(row, F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)).alias("blob"))
-    joined = rows.join(hits.hint("shuffle_hash"), "blob", "left")
+    joined = rows.join(hits, "blob", "left")
     text = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(secrets.masked(F.col("row.text"), F.col("spans")))
     return joined.select(F.col("row").withField("text", text).alias("row")).select("row.*")
 
