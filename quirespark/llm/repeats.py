@@ -2,7 +2,7 @@
 
 1. Every text is cut into runs of windows with one anchor (anchors.py): equal windows lie in runs of
    equal anchor hashes, at one place in them. Runs whose anchor occurs once are done with.
-2. Runs of one anchor and one context (by 128 bits of BLAKE2b) are copies of each other: a verdict for all their
+2. Runs of one anchor and one context (by 96 bits of BLAKE2b) are copies of each other: a verdict for all their
    windows follows from their number or order. One of them, the first of the corpus, stands for the class.
 3. Where an anchor has several contexts, the classes' contexts are fetched and refined: each is split by the place of the
    anchor in its windows, and the stretch that all windows of a part cover is the new, longer anchor, its core. Windows of
@@ -37,7 +37,7 @@ SHARD = 500_000
 #: A part has this share of the places that the anchor can have.
 FINER = 4
 NO_ID = -(2**63)
-_RUN = "fp long, c1 long, c2 long, id long, lo int, n int, place int"
+_RUN = "fp long, c1 long, c2 int, id long, lo int, n int, place int"
 OWN = "array<struct<a:int,b:int>>"
 
 
@@ -79,9 +79,9 @@ class Chunk:
 
 
 def _digests(texts: Iterator[bytes], place: np.ndarray) -> tuple[pa.Array, pa.Array]:
-    """128 bits for each context and the place of the anchor in it."""
-    both = np.frombuffer(b"".join([blake2b(t, digest_size=16).digest() for t in texts]), np.int64).reshape(-1, 2)
-    return pa.array(both[:, 0] + place), pa.array(both[:, 1])
+    """96 bits for each context and the place of the anchor in it."""
+    both = np.frombuffer(b"".join([blake2b(t, digest_size=12).digest() for t in texts]), np.dtype([("c1", "<i8"), ("c2", "<i4")]))
+    return pa.array(both["c1"] + place), pa.array(both["c2"].copy())
 
 
 def _anchors(kind: Kind):
@@ -187,7 +187,7 @@ def _several(classes: DataFrame) -> DataFrame:
 
 def _decided(contexts: DataFrame, kind: Kind, width: int, shard: int) -> DataFrame:
     """(fp, c1, c2, own): the windows that go of each of contexts(fp, c1, c2, id, lo, n, place, symbols), as far as other contexts tell."""
-    parts = cut(map_arrow(contexts, _refine(kind, width), f"{_RUN}, symbols binary, core int, pf long, p1 long, p2 long, off int"), "parts")
+    parts = cut(map_arrow(contexts, _refine(kind, width), f"{_RUN}, symbols binary, core int, pf long, p1 long, p2 int, off int"), "parts")
     met = cut(parts.groupBy("fp").agg(F.count("*").alias("c")).where("c > 1").select("fp"), "part-anchors", True)
     parts = cut(parts.join(met, "fp"), "met")
     first = F.min(F.struct("id", "lo", "n", "place", "core", "symbols")).alias("first")
@@ -198,7 +198,7 @@ def _decided(contexts: DataFrame, kind: Kind, width: int, shard: int) -> DataFra
     total, large = groups.agg(F.coalesce(F.sum(F.when(is_small, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_small, 1)), F.lit(0))).first()
     runs = ("fp", "c1", "c2", "id", "lo", "n", "place", "symbols")
     dealt = classes.join(groups.where(is_small).select("fp"), "fp").select(*runs, "core", F.lit(width).alias("width"), F.pmod(F.xxhash64("fp"), F.lit(1 + total // shard)).alias("shard"))
-    solved = dealt.groupBy("shard").applyInArrow(kind.solve, f"fp long, c1 long, c2 long, own {OWN}")
+    solved = dealt.groupBy("shard").applyInArrow(kind.solve, f"fp long, c1 long, c2 int, own {OWN}")
     if large:
         solved = solved.unionByName(_decided(classes.join(groups.where(~is_small).select("fp"), "fp").select(*runs), kind, -(-width // FINER), shard))
     verdicts = classes.select("fp", "c1", "c2", "c", F.struct("id", "lo").alias("first")).join(solved.where(F.size("own") > 0), ["fp", "c1", "c2"], "left").where("c > 1 or own is not null")
