@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from . import anchors, vec
 from .common import cut, map_arrow
 
-#: Bytes of the contexts that a solver gets at once.
-SHARD = 500_000
+#: Bytes of the contexts that a solver gets at once, and most tasks that shards are dealt to.
+SHARD, TASKS = 200_000, 20_000
 #: A part has this share of the places that the anchor can have.
 FINER = 4
 NO_ID = -(2**63)
@@ -198,7 +198,7 @@ def _decided(contexts: DataFrame, kind: Kind, width: int, shard: int) -> DataFra
     total, large = groups.agg(F.coalesce(F.sum(F.when(is_small, F.col("size"))), F.lit(0)), F.coalesce(F.sum(F.when(~is_small, 1)), F.lit(0))).first()
     runs = ("fp", "c1", "c2", "id", "lo", "n", "place", "symbols")
     dealt = classes.join(groups.where(is_small).select("fp"), "fp").select(*runs, "core", F.lit(width).alias("width"), F.pmod(F.xxhash64("fp"), F.lit(1 + total // shard)).alias("shard"))
-    solved = dealt.groupBy("shard").applyInArrow(kind.solve, f"fp long, c1 long, c2 int, own {OWN}")
+    solved = dealt.repartition(min(TASKS, 1 + total // shard), "shard").groupBy("shard").applyInArrow(kind.solve, f"fp long, c1 long, c2 int, own {OWN}")
     if large:
         solved = solved.unionByName(_decided(classes.join(groups.where(~is_small).select("fp"), "fp").select(*runs), kind, -(-width // FINER), shard))
     verdicts = classes.select("fp", "c1", "c2", "c", F.struct("id", "lo").alias("first")).join(solved.where(F.size("own") > 0), ["fp", "c1", "c2"], "left").where("c > 1 or own is not null")
