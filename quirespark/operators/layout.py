@@ -363,3 +363,45 @@ def coalesce_runs(runs: DataFrame, keys: list[str], order: list[str], same: list
     marked = runs.withColumn("run_id", F.sum(F.when(first, 0).otherwise(changed)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     ordered = F.array_sort(F.collect_list(F.struct(*order, "text")))
     return marked.groupBy(*keys, "run_id", *same).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"), F.count("*").alias("n"))
+
+
+def reliability(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and reliability: the share of codes of texts(text, bad) that could be decoded, 1 without any."""
+    return texts.groupBy(*keys).agg(F.coalesce(1 - F.sum("bad") / F.nullif(F.sum(F.length("text")), F.lit(0)), F.lit(1.0)).alias("reliability"))
+
+
+def uniform_size(pages: DataFrame) -> DataFrame:
+    """doc_id, n_sizes and uniform: whether all of pages(doc_id, w, h) have one size, in whole points."""
+    size = F.struct(F.floor(F.col("w") + 0.5), F.floor(F.col("h") + 0.5))
+    return pages.groupBy("doc_id").agg(F.count_distinct(size).alias("n_sizes")).withColumn("uniform", F.col("n_sizes") == 1)
+
+
+def extent(items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, right and bottom: how far items(x, y, w, h) reach."""
+    return items.groupBy(*keys).agg(F.max(F.col("x") + F.col("w")).alias("right"), F.max(F.col("y") + F.col("h")).alias("bottom"))
+
+
+def draw_order(texts: DataFrame, traced: DataFrame, page: list[str] = PAGE, default: int = 10_000_000) -> DataFrame:
+    """texts(x0, y0) with draw_seq: that of the first of traced(x, y, seq) at the same origin, to a tenth of a point; `default` where there is none."""
+    tenth = lambda c: F.floor(F.col(c) * 10 + 0.5)
+    first = traced.groupBy(*page, tenth("x").alias("_x"), tenth("y").alias("_y")).agg(F.min("seq").alias("draw_seq"))
+    out = texts.withColumn("_x", tenth("x0")).withColumn("_y", tenth("y0")).join(first, [*page, "_x", "_y"], "left")
+    return out.withColumn("draw_seq", F.coalesce("draw_seq", F.lit(default))).drop("_x", "_y")
+
+
+def without_masked(texts: DataFrame, unseen: DataFrame, key: str, page: list[str] = PAGE, share: float = 0.6) -> DataFrame:
+    """texts(x0, y0, x1, y1, key) of which no box of unseen(x0, y0, x1, y1) covers more than `share` of the area.
+
+    Boxes meet in bands of BAND points' height: a pair is found in the first band that both reach.
+    """
+    bands = lambda lo, hi: F.sequence(F.floor(F.col(lo) / BAND), F.floor(F.col(hi) / BAND))
+    own = texts.select(*page, key, "x0", "y0", "x1", "y1", F.explode(bands("y0", "y1")).alias("band"))
+    other = unseen.select(*page, *[F.col(c).alias(f"u_{c}") for c in ("x0", "y0", "x1", "y1")]).withColumn("band", F.explode(bands("u_y0", "u_y1")))
+    met = own.join(other, [*page, "band"]).where(F.col("band") == F.floor(F.greatest("y0", "u_y0") / BAND))
+    shared = F.greatest(F.lit(0.0), F.least("x1", "u_x1") - F.greatest("x0", "u_x0")) * F.greatest(F.lit(0.0), F.least("y1", "u_y1") - F.greatest("y0", "u_y0"))
+    masked = met.where(shared > share * F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))).select(*page, key).distinct()
+    return texts.join(masked, [*page, key], "left_anti")
+
+
+#: Height of the bands in which boxes of a page meet.
+BAND = 40.0

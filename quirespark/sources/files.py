@@ -27,30 +27,39 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.col("path").alias("doc_id"), file_kind("path").alias("kind"), "length", "content")
 
 
+#: What damaged files can raise in a parser.
+DAMAGE = (ValueError, TypeError, IndexError, KeyError, AttributeError, ZeroDivisionError, OverflowError, RecursionError, LookupError)
+
+
 def pdf_rows(doc_id: str, data: bytes, annotations: bool = True) -> Iterator[dict]:
-    """All rows of one PDF; a page that can't be read is a page without elements and a note."""
+    """All rows of one PDF; what can't be read of it is an error row, and the rest is there."""
     from . import pdf, pdfpage
 
     try:
         doc = pdf.Document(data)
         pages = doc.pages()
-    except (ValueError, RecursionError) as e:
-        yield {"doc_id": doc_id, "kind": "error", "text": str(e)}
+    except DAMAGE as e:
+        yield {"doc_id": doc_id, "kind": "error", "text": str(e) or type(e).__name__}
         return
     if not pages:
         yield {"doc_id": doc_id, "kind": "error", "text": "no pages"}
     fonts: dict = {}
     for n, page in enumerate(pages, 1):
-        reader = pdfpage.Page(doc, page, fonts, annotations)
-        yield {"doc_id": doc_id, "page_no": n, "kind": "page"} | reader.run()
+        try:
+            reader = pdfpage.Page(doc, page, fonts, annotations)
+            rows = [{"doc_id": doc_id, "page_no": n, "kind": "page"} | reader.run()]
+        except DAMAGE as e:
+            yield {"doc_id": doc_id, "page_no": n, "kind": "error", "text": f"page {n}: {type(e).__name__}"}
+            continue
+        yield from rows
         for row in reader.rows:
             clip = row.pop("clip")
             yield row | {"doc_id": doc_id, "page_no": n, "clip_x0": clip[0], "clip_y0": clip[1], "clip_x1": clip[2], "clip_y1": clip[3]}
-    for key, value in doc.info().items():
-        if value:
-            yield {"doc_id": doc_id, "kind": "info", "name": key, "text": value}
-    for i, (level, title) in enumerate(doc.outline()):
-        yield {"doc_id": doc_id, "kind": "outline", "seq": i, "level": level, "text": title}
+    try:
+        about = [{"kind": "info", "name": k, "text": v} for k, v in doc.info().items() if v] + [{"kind": "outline", "seq": i, "level": level, "text": title} for i, (level, title) in enumerate(doc.outline())]
+    except DAMAGE as e:
+        about = [{"kind": "error", "text": f"outline: {type(e).__name__}"}]
+    yield from ({"doc_id": doc_id} | row for row in about)
     for i, note in enumerate(doc.notes):
         yield {"doc_id": doc_id, "kind": "note", "seq": i, "text": note}
 

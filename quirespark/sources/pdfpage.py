@@ -7,11 +7,13 @@ what was drawn before damage stays.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 import unicodedata
 from typing import Any
 
+from ..functions import calculator
 from .pdf import END, Document, Name, Reader, Ref, Stream, Word
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
@@ -49,7 +51,7 @@ def hexed(rgb):
 
 
 def function(doc: Document, f: Any, t: list[float]) -> list[float] | None:
-    """Values of a PDF function (types 0, 2, 3; a calculator is taken as linear between its range's ends)."""
+    """Values of a PDF function: sampled (0), exponential (2), stitched (3), calculator (4); null where it can't be evaluated."""
     f = doc.get(f)
     d = f.values if isinstance(f, Stream) else f
     if isinstance(f, list):
@@ -58,31 +60,52 @@ def function(doc: Document, f: Any, t: list[float]) -> list[float] | None:
     if not isinstance(d, dict):
         return None
     g = lambda k, default=None: default if doc.get(d.get(k)) is None else [doc.get(x) for x in v] if isinstance(v := doc.get(d.get(k)), list) else v
-    kind, domain = g("FunctionType"), g("Domain", [0, 1])
-    x = min(max(t[0], domain[0]), domain[1])
+    kind, domain, ranges = g("FunctionType"), g("Domain", [0, 1]), g("Range", [])
+    inputs = [min(max(x, lo), hi) for x, lo, hi in zip(t, domain[::2], domain[1::2], strict=False)]
+    if not inputs:
+        return None
+    x, lo, hi = inputs[0], domain[0], domain[1]
     if kind == 2:
-        c0, c1, n = g("C0", [0]), g("C1", [1]), g("N", 1)
-        return [a + x**n * (b - a) for a, b in zip(c0, c1, strict=False)]
-    if kind == 3:
+        c0, c1, share = g("C0", [0]), g("C1", [1]), (x - lo) / ((hi - lo) or 1)
+        out = [a + share ** g("N", 1) * (b - a) for a, b in itertools.zip_longest(c0, c1, fillvalue=0)]
+    elif kind == 3:
         bounds, encode, parts = g("Bounds", []), g("Encode", []), g("Functions", [])
-        k = sum(b <= x for b in bounds[: len(parts) - 1])
-        lo, hi = ([domain[0], *bounds][k], [*bounds, domain[1]][k])
-        e0, e1 = encode[2 * k], encode[2 * k + 1]
-        return function(doc, parts[k], [e0 + (x - lo) / (hi - lo) * (e1 - e0) if hi > lo else e0])
-    ranges = g("Range", [0, 1])
-    n = len(ranges) // 2
-    if kind == 0 and isinstance(f, Stream):
-        size, bits, decode = g("Size", [2]), g("BitsPerSample", 8), g("Decode", ranges)
-        raw = doc.bytes_of(f)
-        i = round((x - domain[0]) / ((domain[1] - domain[0]) or 1) * (size[0] - 1))
-        big, out = int.from_bytes(raw), []
-        for k in range(n):
-            shift = len(raw) * 8 - (i * n + k + 1) * bits
-            v = (big >> shift) & ((1 << bits) - 1) if shift >= 0 else 0
-            out.append(decode[2 * k] + v / ((1 << bits) - 1) * (decode[2 * k + 1] - decode[2 * k]))
-        return out
-    share = (x - domain[0]) / ((domain[1] - domain[0]) or 1)
-    return [ranges[2 * k] + share * (ranges[2 * k + 1] - ranges[2 * k]) for k in range(n)]
+        k = min(sum(b <= x for b in bounds), len(parts) - 1)
+        edges = [lo, *bounds, hi]
+        e0, e1 = encode[2 * k : 2 * k + 2] if len(encode) >= 2 * k + 2 else (0, 1)
+        width = edges[k + 1] - edges[k]
+        out = function(doc, parts[k], [e0 + (x - edges[k]) / width * (e1 - e0) if width else e0])
+    elif kind == 0 and isinstance(f, Stream):
+        out = _sampled(doc.bytes_of(f), inputs, domain, g("Size", [2] * len(inputs)), g("BitsPerSample", 8), g("Encode"), g("Decode", ranges))
+    elif kind == 4 and isinstance(f, Stream):
+        try:
+            out = calculator.run(calculator.parse(doc.bytes_of(f)), inputs)
+        except (ValueError, IndexError, TypeError, OverflowError) as e:
+            doc.note(str(e))
+            return None
+    else:
+        return None
+    return out and [min(max(v, a), b) for v, a, b in zip(out, ranges[::2], ranges[1::2], strict=False)] if ranges else out
+
+
+def _sampled(raw: bytes, inputs: list[float], domain: list, size: list, bits: int, encode: list | None, decode: list) -> list[float]:
+    """Between the samples around the inputs, linear in each."""
+    n, most, table = len(decode) // 2, (1 << bits) - 1, int.from_bytes(raw)
+    corners: list[tuple[int, float]] = [(0, 1.0)]  # (index of a sample, its share)
+    stride = 1
+    for k, x in enumerate(inputs):
+        e0, e1 = encode[2 * k : 2 * k + 2] if encode else (0, size[k] - 1)
+        at = (x - domain[2 * k]) / ((domain[2 * k + 1] - domain[2 * k]) or 1) * (e1 - e0) + e0
+        at = min(max(at, 0), size[k] - 1)
+        below = int(at)
+        corners = [(i + stride * j, share * part) for i, share in corners for j, part in ((below, 1 - at + below), (below + 1, at - below)) if part > 0]
+        stride *= size[k]
+
+    def sample(i: int, j: int) -> float:
+        shift = len(raw) * 8 - (i * n + j + 1) * bits
+        return ((table >> shift) & most if shift >= 0 else 0) / most
+
+    return [decode[2 * j] + sum(share * sample(i, j) for i, share in corners) * (decode[2 * j + 1] - decode[2 * j]) for j in range(n)]
 
 
 class Color:
@@ -135,7 +158,7 @@ class Color:
             n, i = self.base.n, int(v[0])
             return self.base.rgb([b / 255 for b in self.extra[i * n : i * n + n]])
         if self.kind == "Tint":
-            got = function(self.doc, self.extra, v[:1])
+            got = function(self.doc, self.extra, v[: self.n])
             return self.base.rgb(got) if got else (1 - v[0],) * 3
         return None
 
@@ -197,6 +220,40 @@ def to_unicode(data: bytes) -> dict[int, str]:
     return out
 
 
+class CodeMap:
+    """An embedded encoding: which bytes make a code, and the glyph numbers of codes."""
+
+    def __init__(self, data: bytes):
+        self.spaces: list[tuple[int, int, int]] = []  # least, greatest, bytes
+        self.blocks: list[tuple[int, int, int]] = []  # least, greatest, glyph number of the least
+        reader, held = Reader(data), []
+        while (x := reader.next()) is not END:
+            if not isinstance(x, Word):
+                held.append(x)
+                continue
+            number = [int.from_bytes(v) if isinstance(v, bytes) else v for v in held]
+            if x == "endcodespacerange":
+                self.spaces += [(a, b, len(v)) for a, b, v in zip(number[::2], number[1::2], held[::2], strict=False) if isinstance(v, bytes)]
+            elif x == "endcidrange":
+                self.blocks += [(a, b, c) for a, b, c in zip(number[::3], number[1::3], number[2::3], strict=False) if isinstance(c, int)]
+            elif x == "endcidchar":
+                self.blocks += [(a, a, c) for a, c in zip(number[::2], number[1::2], strict=False) if isinstance(c, int)]
+            held = []
+
+    def codes(self, data: bytes) -> list[int]:
+        """By the first code space that holds what comes next, two bytes where none does."""
+        out, i = [], 0
+        while i < len(data):
+            fits = [n for lo, hi, n in self.spaces if i + n <= len(data) and lo <= int.from_bytes(data[i : i + n]) <= hi]
+            n = fits[0] if fits else 2
+            out.append(int.from_bytes(data[i : i + n].ljust(n, b"\0")))
+            i += n
+        return out
+
+    def glyph(self, code: int) -> int:
+        return next((c + code - lo for lo, hi, c in reversed(self.blocks) if lo <= code <= hi), code)
+
+
 class Font:
     def __init__(self, doc: Document, d: dict):
         g = lambda k, of=d: doc.get(of.get(k))
@@ -224,6 +281,8 @@ class Font:
         elif not self.widths:
             self.default = self.default or 500
         self.names = {} if self.wide else self._names(doc, g("Encoding"))
+        enc = g("Encoding") if self.wide else None
+        self.map = CodeMap(doc.bytes_of(enc)) if isinstance(enc, Stream) else None
         tu = g("ToUnicode")
         self.unicode = to_unicode(doc.bytes_of(tu)) if isinstance(tu, Stream) else {}
 
@@ -266,13 +325,15 @@ class Font:
         return out
 
     def codes(self, data: bytes) -> list[int]:
+        if self.map and self.map.spaces:
+            return self.map.codes(data)
         return [int.from_bytes(data[i : i + 2]) for i in range(0, len(data), 2)] if self.wide else list(data)
 
     def text(self, code: int) -> str | None:
         return self.unicode.get(code) or (None if self.wide else self.names.get(code))
 
     def width(self, code: int) -> float:
-        return self.widths.get(code, self.default) / 1000
+        return self.widths.get(self.map.glyph(code) if self.map else code, self.default) / 1000
 
 
 # -- interpreter ------------------------------------------------------------------------------

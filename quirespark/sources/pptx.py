@@ -13,7 +13,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import DataFrame
 
-from .files import frame
+from .files import DAMAGE, frame
 
 A, P, R, C = (f"{{http://schemas.openxmlformats.org/{x}}}" for x in ("drawingml/2006/main", "presentationml/2006/main", "officeDocument/2006/relationships", "drawingml/2006/chart"))
 
@@ -245,6 +245,10 @@ def deck_elements(files: DataFrame) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                yield frame(list(deck_rows(doc_id, bytes(content or b""))), ROWS)
+                try:
+                    rows = list(deck_rows(doc_id, bytes(content or b"")))
+                except (*DAMAGE, SyntaxError, OSError, zipfile.BadZipFile, zlib.error) as e:
+                    rows = [{"doc_id": doc_id, "kind": "error", "text": f"{type(e).__name__}: {e}"}]
+                yield frame(rows, ROWS)
 
     return files.select("doc_id", "content").mapInPandas(parse, ROWS)
