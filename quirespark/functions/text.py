@@ -29,6 +29,11 @@ def sha_bytes(x, bits: int = 256) -> Column:
     return F.unhex(F.sha2(_c(x), bits))
 
 
+def crc32(x) -> Column:
+    """The checksum of ZIP entries, of text as UTF-8 or of bytes."""
+    return F.crc32(F.col(x).cast("binary") if isinstance(x, str) else x.cast("binary"))
+
+
 def lenient_base64(x) -> Column:
     """Base64 with everything outside its alphabet ignored."""
     return F.unbase64(F.regexp_replace(_c(x), r"[^A-Za-z0-9+/=]", ""))

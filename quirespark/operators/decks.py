@@ -47,3 +47,9 @@ def elided_formats(rows: DataFrame, keys: list[str], order: str, text: str) -> D
     """rows with shown: the format where it differs from the last one shown before it, null where it is the same."""
     w = Window.partitionBy(*keys).orderBy(order)
     return rows.withColumn("shown", F.when(~F.col(text).eqNullSafe(F.last(text, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))), F.col(text)))
+
+
+def without_empty_placeholders(shapes: DataFrame) -> DataFrame:
+    """shapes but for placeholders without text, fill and line of their own."""
+    bare = F.col("ph_type").isNotNull() & (F.coalesce(F.trim("text"), F.lit("")) == "") & F.col("fill").isNull() & F.col("line").isNull()
+    return shapes.where(~bare)

@@ -70,3 +70,20 @@ def paginate(items: DataFrame, width: float, ratio: float = 9 / 16) -> DataFrame
     height = max(80.0, width * ratio)
     page = F.greatest(F.lit(0), F.floor(F.col("y") / height)).cast("long")
     return items.withColumn("page_no", page + 1).withColumn("spans_page", F.col("y") + F.col("h") > (page + 1) * height)
+
+
+def preferred_size(tag) -> tuple[Column, Column]:
+    """Width and height that an image element's attributes name, null where they don't."""
+    of = lambda name: F.regexp_extract(tag, rf"(?i)\b{name}\s*=\s*[\"']?(\d+)", 1).try_cast("int")
+    return of("width"), of("height")
+
+
+def is_shown(display, visibility, opacity) -> Column:
+    """Whether an element of these computed styles is shown."""
+    return (display != "none") & (visibility != "hidden") & (opacity > 0.05)
+
+
+def decoration(boxes: DataFrame, page_width: float) -> DataFrame:
+    """boxes(w, h, background, bordered) that are drawn: two pixels or more, with a background or a border, but not a plain white one of the page's width."""
+    white = F.coalesce(F.col("background") == "#FFFFFF", F.lit(False)) & (F.col("w") >= page_width) & ~F.col("bordered")
+    return boxes.where((F.col("w") >= 2) & (F.col("h") >= 2) & (F.col("background").isNotNull() | F.col("bordered")) & ~white)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 def priority(rows: DataFrame, lookup: DataFrame, keys: list[str]) -> DataFrame:
     """rows with value and level (from 1) of the first of `keys` that lookup(key, value) has; null if none.
 
-    One equi-join over all keys of a row, not one for each: the keys are exploded and the least level is kept.
+    One equi-join over all keys of a row, not one for each: every key that occurs is looked up once, whatever rows
+    hold it, and rows of equal keys get their value together. No row is numbered, so nothing hangs on the order of evaluation.
     """
-    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
-    tried = numbered.select("_row", F.posexplode(F.array(*[F.col(k) for k in keys])).alias("_level", "key"))
-    best = tried.join(lookup.groupBy("key").agg(F.min("value").alias("value")), "key").groupBy("_row").agg(F.min_by("value", "_level").alias("value"), (F.min("_level") + 1).alias("level"))
-    return numbered.join(best, "_row", "left").drop("_row")
+    asked = rows.select(F.array(*[F.col(k) for k in keys]).alias("_keys")).distinct()
+    tried = asked.select("_keys", F.posexplode("_keys").alias("_level", "key")).where("key is not null")
+    best = tried.join(lookup.groupBy("key").agg(F.min("value").alias("value")), "key").groupBy("_keys").agg(F.min_by("value", "_level").alias("value"), (F.min("_level") + 1).alias("level"))
+    return rows.withColumn("_keys", F.array(*[F.col(k) for k in keys])).join(best.withColumnRenamed("_keys", "_asked"), F.col("_keys").eqNullSafe(F.col("_asked")), "left").drop("_keys", "_asked")
 
 
 def first_defined(rows: DataFrame, keys: list[str], level: str, properties: list[str]) -> DataFrame:

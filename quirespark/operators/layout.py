@@ -389,19 +389,45 @@ def draw_order(texts: DataFrame, traced: DataFrame, page: list[str] = PAGE, defa
     return out.withColumn("draw_seq", F.coalesce("draw_seq", F.lit(default))).drop("_x", "_y")
 
 
-def without_masked(texts: DataFrame, unseen: DataFrame, key: str, page: list[str] = PAGE, share: float = 0.6) -> DataFrame:
-    """texts(x0, y0, x1, y1, key) of which no box of unseen(x0, y0, x1, y1) covers more than `share` of the area.
+def bounds(items: DataFrame, keys: list[str]) -> DataFrame:
+    """keys and the box around items(x0, y0, x1, y1)."""
+    return items.groupBy(*keys).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
 
-    Boxes meet in bands of BAND points' height: a pair is found in the first band that both reach.
-    """
-    bands = lambda lo, hi: F.sequence(F.floor(F.col(lo) / BAND), F.floor(F.col(hi) / BAND))
-    own = texts.select(*page, key, "x0", "y0", "x1", "y1", F.explode(bands("y0", "y1")).alias("band"))
-    other = unseen.select(*page, *[F.col(c).alias(f"u_{c}") for c in ("x0", "y0", "x1", "y1")]).withColumn("band", F.explode(bands("u_y0", "u_y1")))
-    met = own.join(other, [*page, "band"]).where(F.col("band") == F.floor(F.greatest("y0", "u_y0") / BAND))
-    shared = F.greatest(F.lit(0.0), F.least("x1", "u_x1") - F.greatest("x0", "u_x0")) * F.greatest(F.lit(0.0), F.least("y1", "u_y1") - F.greatest("y0", "u_y0"))
-    masked = met.where(shared > share * F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))).select(*page, key).distinct()
-    return texts.join(masked, [*page, key], "left_anti")
+
+def fonts_used(texts: DataFrame, keys: list[str], most: int = 14) -> DataFrame:
+    """keys, font, n_chars of the fonts with the most characters, place from 1, and n_more, how many fonts are left out."""
+    own = Window.partitionBy(*keys)
+    used = texts.groupBy(*keys, "font").agg(F.sum(F.length("text")).alias("n_chars"))
+    placed = used.withColumn("n_more", F.count("*").over(own) - most).withColumn("place", F.row_number().over(own.orderBy(F.desc("n_chars"), "font")))
+    return placed.where(F.col("place") <= most)
 
 
 #: Height of the bands in which boxes of a page meet.
 BAND = 40.0
+
+
+def _in_bands(boxes: DataFrame, top: str, bottom: str) -> DataFrame:
+    return boxes.withColumn("band", F.explode(F.sequence(F.floor(F.col(top) / BAND), F.floor(F.col(bottom) / BAND))))
+
+
+def _met(left: DataFrame, right: DataFrame, page: list[str]) -> DataFrame:
+    """Pairs of left(x0..) and right(u_x0..) with shared, their common area, if there is any: each in the first band that both reach."""
+    met = _in_bands(left, "y0", "y1").join(_in_bands(right, "u_y0", "u_y1"), [*page, "band"]).where(F.col("band") == F.floor(F.greatest("y0", "u_y0") / BAND))
+    shared = F.greatest(F.lit(0.0), F.least("x1", "u_x1") - F.greatest("x0", "u_x0")) * F.greatest(F.lit(0.0), F.least("y1", "u_y1") - F.greatest("y0", "u_y0"))
+    return met.withColumn("shared", shared).where("shared > 0")
+
+
+def overlaps(boxes: DataFrame, key: str, page: list[str] = PAGE) -> DataFrame:
+    """page, key, u_key and shared of all pairs of a page's boxes that overlap."""
+    box = ("x0", "y0", "x1", "y1")
+    own = boxes.select(*page, key, *box)
+    other = boxes.select(*page, F.col(key).alias("u_key"), *[F.col(c).alias(f"u_{c}") for c in box])
+    return _met(own, other, page).where(F.col(key) < F.col("u_key")).select(*page, key, "u_key", "shared")
+
+
+def without_masked(texts: DataFrame, unseen: DataFrame, key: str, page: list[str] = PAGE, share: float = 0.6) -> DataFrame:
+    """texts(x0, y0, x1, y1, key) of which no box of unseen(x0, y0, x1, y1) covers more than `share` of the area."""
+    box = ("x0", "y0", "x1", "y1")
+    met = _met(texts.select(*page, key, *box), unseen.select(*page, *[F.col(c).alias(f"u_{c}") for c in box]), page)
+    masked = met.where(F.col("shared") > share * F.greatest((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")), F.lit(1e-9))).select(*page, key).distinct()
+    return texts.join(masked, [*page, key], "left_anti")

@@ -131,11 +131,15 @@ def unruled_tables(lines: DataFrame, found: DataFrame) -> DataFrame:
 # -- shapes -----------------------------------------------------------------------------------
 
 
+#: Points that tell every shape: no test asks for more than ten.
+POINTS = 12
+
+
 def _distinct_points(points: Column) -> Column:
-    """Points without those within 0.05 of the one before, and without a last one that closes on the first."""
+    """Points without those within 0.05 of the one before, the first POINTS of them, and without a last one that closes on the first."""
     near = lambda p, q: (F.abs(p["x"] - q["x"]) <= 0.05) & (F.abs(p["y"] - q["y"]) <= 0.05)
     empty = F.filter(points, lambda p: F.lit(False))
-    kept = F.aggregate(points, empty, lambda out, p: F.when((F.size(out) > 0) & near(F.get(out, F.size(out) - 1), p), out).otherwise(F.concat(out, F.array(p))))
+    kept = F.aggregate(points, empty, lambda out, p: F.when((F.size(out) >= POINTS) | (F.size(out) > 0) & near(F.get(out, F.size(out) - 1), p), out).otherwise(F.concat(out, F.array(p))))
     closes = (F.size(kept) > 1) & near(F.get(kept, F.lit(0)), F.get(kept, F.size(kept) - 1))
     return F.when(closes, F.slice(kept, F.lit(1), F.size(kept) - 1)).otherwise(kept)
 
@@ -145,7 +149,7 @@ def classify(paths: DataFrame, pages: DataFrame) -> DataFrame:
     p = paths.join(pages.select(*PAGE, F.col("w").alias("_pw"), F.col("h").alias("_ph")), PAGE)
     p = p.withColumn("_w", F.col("x1") - F.col("x0")).withColumn("_h", F.col("y1") - F.col("y0")).withColumn("area", F.col("_w") * F.col("_h"))
     p = p.withColumn("_n", F.size("subpaths")).withColumn("_s", F.get("subpaths", F.lit(0)))
-    p = p.withColumn("_pts", _distinct_points(F.col("_s.pts"))).withColumn("_k", F.size("_pts"))
+    p = p.withColumn("_pts", F.when(~F.col("_s.is_rect"), _distinct_points(F.col("_s.pts")))).withColumn("_k", F.size("_pts"))  # a rectangle's aren't asked for
     w, h, k = F.col("_w"), F.col("_h"), F.col("_k")
     one, curves, closed = F.col("_n") == 1, F.coalesce(F.col("_s.curves"), F.lit(False)), F.coalesce(F.col("_s.closed"), F.lit(False))
     square = F.try_divide(F.abs(w - h), F.greatest(w, h)) < 0.02
@@ -177,8 +181,9 @@ def classify(paths: DataFrame, pages: DataFrame) -> DataFrame:
         (one & curves, "freeform", 0.6),
         (F.col("_n").between(2, 3) & F.forall("subpaths", lambda s: s["is_rect"]), "rectangles", 0.7),
     ]
-    tried = [F.struct(F.coalesce(test, F.lit(False)).alias("ok"), (shape if isinstance(shape, Column) else F.lit(shape)).alias("shape"), F.lit(confidence).alias("confidence")) for test, shape, confidence in [*kinds, (F.lit(True), "compound", 0.5)]]
-    found = F.get(F.filter(F.array(*tried), lambda x: x["ok"]), F.lit(0))
+    found = F.struct(F.lit("compound").alias("shape"), F.lit(0.5).alias("confidence"))
+    for test, shape, confidence in reversed(kinds):  # the first that holds; what follows isn't evaluated
+        found = F.when(test, F.struct((shape if isinstance(shape, Column) else F.lit(shape)).alias("shape"), F.lit(confidence).alias("confidence"))).otherwise(found)
     # A generator, past which the optimizer moves no filter: it would evaluate all this once more for each time a filter names the shape.
     p = p.select(*paths.columns, "area", "_s", "_w", "_h", F.explode(F.array(F.struct(found.alias("c"), radius.alias("r")))).alias("_c"))
     return p.select(*paths.columns, F.col("_c.c.shape").alias("shape"), F.col("_c.c.confidence").alias("shape_confidence"), "area", F.when(F.col("_c.c.shape") == "rounded-rectangle", F.col("_c.r")).alias("corner_radius"))
@@ -268,3 +273,14 @@ def suppress(charts: DataFrame, share: float = 0.6) -> DataFrame:
 
     kept = F.aggregate("all", F.filter("all", lambda x: F.lit(False)), lambda out, c: F.when(F.exists(out, lambda k: covers(k, c)), out).otherwise(F.concat(out, F.array(c))))
     return charts.join(pages.select(*PAGE, F.explode(F.transform(kept, lambda x: x["id"])).alias("id")), [*PAGE, "id"])
+
+
+def length_ratios(charts: DataFrame) -> DataFrame:
+    """charts(series) with ratios: each bar's length as a multiple of the shortest, null where that is 0."""
+    least = F.array_min(F.transform("series", lambda b: b["len"]))
+    return charts.withColumn("ratios", F.transform("series", lambda b: F.when(least != 0, b["len"] / least)))
+
+
+def without_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
+    """paths(seq) that are none of the rules."""
+    return paths.join(rules.select(*PAGE, "seq").distinct(), [*PAGE, "seq"], "left_anti")

@@ -8,14 +8,17 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..functions import text as X
 from ..operators import decks as D
-from ..operators import layout
+from ..operators import layout, shapes
+from ..operators.cut import cut
 from ..sources import files, mail, pptx
+from . import html as html_plan
+from . import pdf as pdf_plan
 from . import pptx as deck_plan
 from . import sample_files as S
 
@@ -315,3 +318,136 @@ def v5_written_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def a13_written_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = D.text_counts(_texts(spark, sf_dir))
     return counts.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+# -- layout of files --------------------------------------------------------------------------
+
+
+def _elements(spark: SparkSession, sf_dir: str, build: Callable[[int], bytes]) -> DataFrame:
+    return cut(files.pdf_elements(_made(spark, sf_dir, build)), "elements")
+
+
+def _lines(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    texts = elements.where("kind = 'text'").select("doc_id", "page_no", "seq", "x0", "y0", "x1", "y1", "text", "size", "rot", "font", "bold", "italic", "color", "bad")
+    parts = cut(layout.gaps(layout.assign_lines(texts)), "parts")
+    return parts, cut(layout.summarize_lines(parts), "lines")
+
+
+def _drawn(elements: DataFrame) -> tuple[DataFrame, DataFrame]:
+    pages = elements.where("kind = 'page'").select("doc_id", "page_no", "w", "h")
+    return cut(shapes.classify(elements.where("kind = 'path'").select("doc_id", "page_no", "seq", "x0", "y0", "x1", "y1", "fill", "stroke", "line_width", "subpaths"), pages), "drawn"), pages
+
+
+def _ruled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    elements = _elements(spark, sf_dir, S.by_grid)
+    frames = cut(shapes.table_frames(shapes.rules(_drawn(elements)[0])), "frames")
+    return frames, cut(shapes.cells(shapes.place_in_cells(_lines(elements)[0], frames)), "cells")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    return df.withColumn("doc_id", F.col("doc_id").cast("long"))
+
+
+@query(f"SELECT n AS doc_id, (2 + n % 3)::BIGINT AS n_rows, (2 + n % 2)::BIGINT AS n_cols, ((2 + n % 3) * (2 + n % 2))::BIGINT AS n_filled, 0.95e0 AS confidence, 100e0 AS x0, (260 + 80 * (n % 2))::DOUBLE AS x1 FROM {_N}")
+def d3_ruled_tables_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(shapes.ruled_tables(*_ruled(spark, sf_dir))).select("doc_id", "n_rows", "n_cols", "n_filled", F.round("confidence", 9).alias("confidence"), "x0", "x1")
+
+
+@query(f"SELECT n AS doc_id, r::INTEGER AS r, c::INTEGER AS c, 'r' || r || 'c' || c || '-' || n AS text, 9e0 AS size, false AS bold FROM {_N}, range(4) AS a(r), range(3) AS b(c) WHERE r < 2 + n % 3 AND c < 2 + n % 2")
+def a7_cells_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(_ruled(spark, sf_dir)[1]).select("doc_id", "r", "c", "text", "size", "bold")
+
+
+@query(f"SELECT n AS doc_id, (6 + n % 3)::BIGINT AS n_rows, 3::BIGINT AS n_cols, 0.75e0 AS confidence, 60e0 AS x0 FROM {_N}")
+def d4_unruled_tables_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, lines = _lines(_elements(spark, sf_dir, S.by_alignment))
+    return _numbered(shapes.unruled_tables(lines, shapes.segments(parts, lines))).select("doc_id", "n_rows", "n_cols", F.round("confidence", 9).alias("confidence"), "x0")
+
+
+@query(f"SELECT n AS doc_id, 'k' || r || 'c' || c AS text, c::BIGINT AS cell, (60 + 150 * c)::DOUBLE AS x0 FROM {_N}, range(8) AS a(r), range(3) AS b(c) WHERE r < 6 + n % 3")
+def w3_segments_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, lines = _lines(_elements(spark, sf_dir, S.by_alignment))
+    return _numbered(shapes.segments(parts, lines)).select("doc_id", "text", F.col("cell").cast("long").alias("cell"), "x0")
+
+
+_KINDS = "(VALUES (0, 'background'), (1, 'triangle'), (2, 'quadrilateral'), (3, '6-gon'), (4, 'square'), (5, 'rectangle'), (6, 'circle'), (7, 'ellipse'), (8, 'rounded-rectangle'), (9, 'curve'), (10, 'polyline'), (11, 'rectangles'), (12, 'oblique')) AS v(seq, shape)"
+
+
+@query(f"SELECT n AS doc_id, seq::BIGINT AS seq, shape FROM {_N}, {_KINDS}")
+def d6_shapes_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(_drawn(_elements(spark, sf_dir, S.by_outlines))[0]).select("doc_id", "seq", "shape")
+
+
+@query(f"SELECT n AS doc_id, 0::BIGINT AS seq, '#000000' AS fill FROM {_N}")
+def f6_backgrounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(shapes.background(_drawn(_elements(spark, sf_dir, S.by_outlines))[0])).select("doc_id", "seq", "fill")
+
+
+@query(f"SELECT n AS doc_id, 'bars-vertical' AS guess, 4::BIGINT AS n, '30 60 90 ' || 120 + n % 30 AS lengths, '1.0 2.0 3.0 ' || round((120 + n % 30) / 30, 3) AS ratios FROM {_N}")
+def d14_bar_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = lambda a, of: F.array_join(F.transform(a, of), " ")
+    charts = shapes.length_ratios(shapes.bar_charts(*_drawn(_elements(spark, sf_dir, S.by_charts))))
+    return _numbered(charts).select("doc_id", "guess", F.col("n").cast("long").alias("n"), said("series", lambda b: F.round(b["len"]).cast("int").cast("string")).alias("lengths"), said("ratios", lambda r: F.round(r, 3).cast("string")).alias("ratios"))
+
+
+@query(f"SELECT n AS doc_id, 'pie' AS guess, 3::BIGINT AS n, 0.54e0 AS confidence, 330e0 AS x0, 430e0 AS x1 FROM {_N}")
+def d9_pie_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(shapes.pie_charts(_drawn(_elements(spark, sf_dir, S.by_charts))[0])).select("doc_id", "guess", F.col("n").cast("long").alias("n"), F.round("confidence", 9).alias("confidence"), "x0", "x1")
+
+
+@query(f"SELECT n AS doc_id, 'line' AS guess, 5::BIGINT AS n, 0.45e0 AS confidence, 60e0 AS x0, 220e0 AS x1, 350e0 AS y0 FROM {_N}")
+def d10_line_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(shapes.line_charts(*_drawn(_elements(spark, sf_dir, S.by_charts)))).select("doc_id", "guess", "n", "confidence", "x0", "x1", "y0")
+
+
+@query(f"SELECT n AS doc_id, guess FROM {_N}, (VALUES ('bars-vertical'), ('pie'), ('line')) AS v(guess)")
+def l5_kept_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of charts beside each other all stay; a copy of each that lies on it goes."""
+    drawn, pages = _drawn(_elements(spark, sf_dir, S.by_charts))
+    charts = shapes.bar_charts(drawn, pages).unionByName(shapes.pie_charts(drawn), allowMissingColumns=True).unionByName(shapes.line_charts(drawn, pages), allowMissingColumns=True)
+    charts = charts.select("doc_id", "page_no", "guess", "x0", "y0", "x1", "y1", "confidence", F.col("seq").alias("id"))
+    twice = charts.unionByName(charts.withColumn("x1", F.col("x1") + 1).withColumn("confidence", F.col("confidence") - 0.01).withColumn("id", F.col("id") + 1000).withColumn("guess", F.lit("copy")))
+    return _numbered(shapes.suppress(cut(twice, "charts"))).select("doc_id", "guess")
+
+
+def _paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut(layout.summarize_paragraphs(layout.assign_paragraphs(_lines(_elements(spark, sf_dir, S.by_prose))[1])), "paragraphs")
+
+
+_PROSE = f"""SELECT n, 0 AS k, 'Heading ' || n AS text, 20e0 AS size, 1 AS m, 0 AS block FROM {_N} UNION ALL SELECT n, 1, 'The first line of a paragraph that is long enough to' || chr(10) || 'be continued by the second one, number ' || n || '.', 10, 2, 0 FROM {_N}
+  UNION ALL SELECT n, 2, 'Another paragraph stands here, further down, and it' || chr(10) || 'ends on its second line.', 10, 2, 1 FROM {_N} UNION ALL SELECT n, 3, '1. An entry of a list', 10, 1, 2 FROM {_N}"""
+
+
+@query(f"SELECT n AS doc_id, replace(text, chr(10), ' ') AS text, size, m::BIGINT AS n_lines FROM ({_PROSE})")
+def w7_paragraphs_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _numbered(_paragraphs(spark, sf_dir)).select("doc_id", F.replace("flow_text", F.lit("\n"), F.lit(" ")).alias("text"), "size", F.col("n_lines").cast("long").alias("n_lines"))
+
+
+@query(f"SELECT n AS doc_id, count(*)::BIGINT AS n_paragraphs, sum(m)::BIGINT AS n_lines FROM ({_PROSE}) GROUP BY n, block")
+def w8_blocks_of_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = layout.assign_blocks(_paragraphs(spark, sf_dir))
+    return _numbered(_numbered(blocks).groupBy("doc_id", "page_no", "block_id").agg(F.count("*").alias("n_paragraphs"), F.sum("n_lines").cast("long").alias("n_lines"))).select("doc_id", "n_paragraphs", "n_lines")
+
+
+@query(f"""SELECT n AS doc_id, string_agg('第' || (r + 1) || '行: ' || cells, '|' ORDER BY r) AS table_lines, true AS has_head FROM (
+  SELECT n, r, string_agg('"r' || r || 'c' || c || '-' || n || '"', ' | ' ORDER BY c) AS cells FROM {_N}, range(4) AS a(r), range(3) AS b(c) WHERE r < 2 + n % 3 AND c < 2 + n % 2 GROUP BY n, r) GROUP BY n""")
+def k1_pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The structured text of a file, from bytes to table lines."""
+    texts = pdf_plan.document_text(_elements(spark, sf_dir, S.by_grid))
+    found = F.array_join(F.regexp_extract_all("text", F.lit(r"(第\d+行: .*)"), F.lit(1)), "|")
+    return _numbered(texts).select("doc_id", found.alias("table_lines"), F.startswith("text", F.lit("# PDF 结构化描述：")).alias("has_head"))
+
+
+@query(f"""SELECT n AS doc_id, 2 AS n_slides, '"Head ' || n || '"' AS title, '第1行: "v00-' || n || '" | "v01-' || n || '"' AS first_row, '#FEFEFE' AS background FROM {_N}""")
+def k2_deck_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = deck_plan.document_text(cut(pptx.deck_elements(_made(spark, sf_dir, S.deck)), "deck"))
+    one = lambda pattern: F.regexp_extract("text", pattern, 1)
+    return _numbered(texts).select("doc_id", one(r"页数: (\d+)").cast("int").alias("n_slides"), one(r'· ("Head \d+")').alias("title"), one(r'(第1行: "v00.*)').alias("first_row"), one(r"背景: (#\w+)").alias("background"))
+
+
+@query(f"SELECT n AS doc_id, '\"Grüß ' || n || ' café\"' AS said FROM {_N}")
+def k3_mail_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = cut(_mails(spark, sf_dir), "mails")
+    pages = read.select("doc_id", "html", "subject", "sender")
+    assets = read.select("doc_id", F.explode("assets").alias("a")).select("doc_id", "a.key", "a.data_url")
+    return _numbered(html_plan.document_text(pages, assets)).select("doc_id", F.regexp_extract("text", r'("Gr[^"]*")', 1).alias("said"))

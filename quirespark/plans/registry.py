@@ -247,8 +247,8 @@ def a1_palette(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT role, font, n_chars, place FROM (SELECT role, font, n_chars, row_number() OVER (PARTITION BY role ORDER BY n_chars DESC, font) AS place FROM (SELECT role, 'turn' || turn AS font, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY 1, 2)) WHERE place <= 14")
 def a16_fonts_by_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    used = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("role", F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("font")).agg(F.sum(F.length("text")).alias("n_chars"))
-    return used.withColumn("place", F.row_number().over(Window.partitionBy("role").orderBy(F.desc("n_chars"), "font")).cast("long")).where("place <= 14")
+    texts = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("role", F.concat(F.lit("turn"), F.col("turn").cast("string")).alias("font"), "text")
+    return layout.fonts_used(texts, ["role"]).select("role", "font", "n_chars", F.col("place").cast("long").alias("place"))
 
 
 # -- shapes -----------------------------------------------------------------------------------
@@ -343,7 +343,7 @@ def d3_ruled_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT doc_id, page_no, seq FROM {_R} AS p ANTI JOIN (SELECT * FROM {_RULES} WHERE orient IS NOT NULL) AS u USING (doc_id, page_no, seq)")
 def j12_paths_without_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     paths = samples.rect_paths(spark, sf_dir)
-    return paths.join(shapes.rules(paths).select("doc_id", "page_no", "seq"), ["doc_id", "page_no", "seq"], "left_anti").select("doc_id", "page_no", "seq")
+    return shapes.without_rules(paths, shapes.rules(paths)).select("doc_id", "page_no", "seq")
 
 
 # -- scalars over given columns ---------------------------------------------------------------
@@ -373,10 +373,10 @@ def m11_paper(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("paper", G.paper("w", "h")).withColumn("scale", G.round_half_up(G.fit("w", "h", "16:9")[0], 4))
 
 
-@query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256, crc32 FROM (SELECT doc_id, text, NULL::BIGINT AS crc32 FROM documents WHERE text IS NOT NULL)")
+@query("SELECT doc_id, md5(text) AS md5, sha256(text) AS sha256 FROM documents")
 def c10_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
-    return d.select("doc_id", F.lower(F.hex(X.md5_bytes("text"))).alias("md5"), F.lower(F.hex(X.sha_bytes("text"))).alias("sha256"), F.lit(None).cast("long").alias("crc32"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return d.select("doc_id", F.lower(F.hex(X.md5_bytes("text"))).alias("md5"), F.lower(F.hex(X.sha_bytes("text"))).alias("sha256"))
 
 
 @query("SELECT page_id, base64(encode(html)) AS b64, length(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')) AS n_escaped FROM pages")

@@ -278,6 +278,41 @@ def by_fonts(n: int) -> bytes:
     return pdf([content], "/F2 20 0 R /F3 23 0 R /F4 24 0 R", {20: named, 21: codes, 22: to_unicode, 23: wide, 24: bare})
 
 
+def by_grid(n: int) -> bytes:
+    """A ruled table of 2 + n % 3 rows and 2 + n % 2 columns."""
+    rows, cols = 2 + n % 3, 2 + n % 2
+    lines = "".join(f"{100 + 80 * c} 600 m {100 + 80 * c} {600 - 24 * rows} l S " for c in range(cols + 1)) + "".join(f"100 {600 - 24 * r} m {100 + 80 * cols} {600 - 24 * r} l S " for r in range(rows + 1))
+    return pdf([lines.encode() + b"".join(said(f"r{r}c{c}-{n}", 110 + 80 * c, 600 - 24 * r - 16, 9) for r in range(rows) for c in range(cols))])
+
+
+def by_alignment(n: int) -> bytes:
+    """6 + n % 3 lines of three entries each, with no rules."""
+    return pdf([b"".join(said(f"k{r}c{c}", 60 + 150 * c, 700 - 14 * r) for r in range(6 + n % 3) for c in range(3))])
+
+
+def by_charts(n: int) -> bytes:
+    """Four bars, three wedges of a disc and one line of five points."""
+    heights = (30, 60, 90, 120 + n % 30)
+    bars = "0.2 0.4 0.6 rg " + "".join(f"{60 + 40 * i} 100 20 {h} re f " for i, h in enumerate(heights))
+    wedges = "".join(f"{c} rg 380 600 m {380 + a} {600 + b} l {380 + d} {600 + e} {380 + f} {600 + g} {380 + h} {600 + i} c h f " for c, a, b, d, e, f, g, h, i in (("1 0 0", 50, 0, 50, 30, 30, 50, 0, 50), ("0 1 0", 0, 50, -30, 50, -50, 30, -50, 0), ("0 0 1", -50, 0, -50, -40, 50, -40, 50, 0)))
+    return pdf([f"{bars}{wedges}0 0 0 RG 1 w 60 400 m 100 {430 + n % 9} l 140 410 l 180 450 l 220 {400 + n % 5} l S {said('Q1', 62, 88, 8).decode()}".encode()])
+
+
+def by_outlines(n: int) -> bytes:
+    """One filled shape of each kind, side by side."""
+    x, round_ = n % 20, 0.5523
+    oval = lambda cx, cy, a, b: f"{cx + a} {cy} m {cx + a} {cy + b * round_} {cx + a * round_} {cy + b} {cx} {cy + b} c {cx - a * round_} {cy + b} {cx - a} {cy + b * round_} {cx - a} {cy} c {cx - a} {cy - b * round_} {cx - a * round_} {cy - b} {cx} {cy - b} c {cx + a * round_} {cy - b} {cx + a} {cy - b * round_} {cx + a} {cy} c h f "
+    soft = f"{x + 110} 500 m {x + 170} 500 l {x + 176} 500 {x + 180} 504 {x + 180} 510 c {x + 180} 530 l {x + 180} 536 {x + 176} 540 {x + 170} 540 c {x + 110} 540 l {x + 104} 540 {x + 100} 536 {x + 100} 530 c {x + 100} 510 l {x + 100} 504 {x + 104} 500 {x + 110} 500 c h f "
+    plain = f"{x} 100 m {x + 30} 100 l {x + 15} 130 l h f {x + 40} 100 m {x + 70} 105 l {x + 65} 130 l {x + 42} 128 l h f {x + 100} 100 m {x + 120} 100 l {x + 130} 117 l {x + 120} 134 l {x + 100} 134 l {x + 90} 117 l h f {x + 200} 100 25 25 re f {x + 240} 100 50 20 re f "
+    bent = f"{x + 300} 100 m {x + 310} 140 {x + 330} 140 {x + 340} 100 c S {x + 10} 300 m {x + 40} 320 l {x + 60} 300 l {x + 90} 330 l {x + 99} 310 l S {x + 200} 300 20 10 re {x + 240} 300 20 10 re f {x} 350 m {x + 50} 380 l S "
+    return pdf([("0 0 500 800 re f " + plain + oval(x + 50, 520, 20, 20) + oval(x + 50, 600, 30, 15) + soft + bent).encode()])
+
+
+def by_prose(n: int) -> bytes:
+    """Two paragraphs of two lines, a heading of another size and a list entry."""
+    return pdf([said(f"Heading {n}", 60, 740, 20) + said("The first line of a paragraph that is long enough to", 60, 700) + said(f"be continued by the second one, number {n}.", 60, 688) + said("Another paragraph stands here, further down, and it", 60, 640) + said("ends on its second line.", 60, 628) + said("1. An entry of a list", 60, 580)])
+
+
 # -- mail -------------------------------------------------------------------------------------
 
 
