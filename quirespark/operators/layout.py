@@ -402,17 +402,17 @@ def fonts_used(texts: DataFrame, keys: list[str], most: int = 14) -> DataFrame:
     return placed.where(F.col("place") <= most)
 
 
-#: Height of the bands in which boxes of a page meet.
-BAND = 40.0
+#: Height of the strips in which boxes of a page meet.
+STRIP = 40.0
 
 
-def _in_bands(boxes: DataFrame, top: str, bottom: str) -> DataFrame:
-    return boxes.withColumn("band", F.explode(F.sequence(F.floor(F.col(top) / BAND), F.floor(F.col(bottom) / BAND))))
+def _in_strips(boxes: DataFrame, top: str, bottom: str) -> DataFrame:
+    return boxes.withColumn("strip", F.explode(F.sequence(F.floor(F.col(top) / STRIP), F.floor(F.col(bottom) / STRIP))))
 
 
 def _met(left: DataFrame, right: DataFrame, page: list[str]) -> DataFrame:
-    """Pairs of left(x0..) and right(u_x0..) with shared, their common area, if there is any: each in the first band that both reach."""
-    met = _in_bands(left, "y0", "y1").join(_in_bands(right, "u_y0", "u_y1"), [*page, "band"]).where(F.col("band") == F.floor(F.greatest("y0", "u_y0") / BAND))
+    """Pairs of left(x0..) and right(u_x0..) with shared, their common area, if there is any: each in the first strip that both reach."""
+    met = _in_strips(left, "y0", "y1").join(_in_strips(right, "u_y0", "u_y1"), [*page, "strip"]).where(F.col("strip") == F.floor(F.greatest("y0", "u_y0") / STRIP))
     shared = F.greatest(F.lit(0.0), F.least("x1", "u_x1") - F.greatest("x0", "u_x0")) * F.greatest(F.lit(0.0), F.least("y1", "u_y1") - F.greatest("y0", "u_y0"))
     return met.withColumn("shared", shared).where("shared > 0")
 
