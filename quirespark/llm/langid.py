@@ -9,7 +9,8 @@ mean, a bucket's embedding and the layer fold into one row of scores, and a text
 
 Rejection is calibrated on the same texts of both kinds. A text is rejected when it has no letter or its score is below the threshold: half-way between what
 all but REJECTED of the rightly labelled ones reach and what all but REJECTED of the texts in no language stay
-below, or the former alone if that is the smaller. Of fewer than 1 / REJECTED texts that is the lowest or highest.
+below, or the former alone if that is the smaller. Since the former are fewer than 1 / REJECTED, it is their lowest score, or
+where a normal distribution of their logits has that quantile, if that is lower.
 
 Examples are at most PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, those of the smallest
 hashes of doc_id among texts of at most EXAMPLE_BYTES; only text and language are used. Defined results:
@@ -21,6 +22,7 @@ extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 from typing import NamedTuple
 
 import numpy as np
@@ -132,7 +134,7 @@ def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
     heat = float(heats[int(np.argmin(loss))])
     p = _softmax(logits / heat)
     right, none = np.sort(p[:held].max(1)[p[:held].argmax(1) == y[:held]]), np.sort(p[held:].max(1))
-    threshold = float(right[int(REJECTED * len(right))]) - ROUNDING if len(right) else 0.0
+    threshold = _lower_end(right) if len(right) else 0.0
     most = float(none[len(none) - 1 - int(REJECTED * len(none))])
     if most < threshold:
         threshold = (threshold + most) / 2
@@ -140,6 +142,14 @@ def train(examples: list[tuple[str, str]], seed: int = 0) -> Model:
     return Model(languages, (scores / heat).astype(np.float32), bias / heat, threshold, float((none < threshold).mean()))
 
 
+def _lower_end(scores: np.ndarray) -> float:
+    """What all but REJECTED of sorted scores reach, by themselves or, if that is less, by the normal distribution of their logits."""
+    held = np.clip(scores.astype(np.float64), 1e-9, 1 - 1e-9)
+    logits = np.log(held / (1 - held))
+    tail = logits.mean() - NormalDist().inv_cdf(1 - REJECTED) * logits.std()
+    return min(float(scores[int(REJECTED * len(scores))]), float(1 / (1 + np.exp(-tail)))) - ROUNDING
+
+
 def _predict(shared: Broadcast):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = shared.value
