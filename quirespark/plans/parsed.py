@@ -34,15 +34,20 @@ def query(sql: str):
     return add
 
 
+#: Files that a task makes and reads, at most, where there are more than cores.
+FILES = 2000
+
+
 def _made(spark: SparkSession, sf_dir: str, build: Callable[[int], bytes]) -> DataFrame:
-    """(doc_id, content): a file for each supplier."""
+    """(doc_id, content): a file for each supplier. The keys lie in few splits, the files take time: they are dealt to all cores."""
 
     def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["n"].astype(str), "content": [build(int(n)) for n in batch["n"]]})
 
     keys = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").cast("long").alias("n"))
-    return keys.mapInPandas(make, "doc_id string, content binary")
+    parts = max(spark.sparkContext.defaultParallelism, -(-keys.count() // FILES))
+    return keys.repartition(parts, "n").mapInPandas(make, "doc_id string, content binary")
 
 
 def _pdf(spark: SparkSession, sf_dir: str, build: Callable[[int], bytes], *kinds: str) -> DataFrame:
