@@ -245,7 +245,8 @@ def s19_mails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _deck(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pptx.deck_elements(_made(spark, sf_dir, S.deck)).withColumn("doc_id", F.col("doc_id").cast("long"))
+    """Rows of the decks, written once: most plans use them several times, and each would parse every deck again."""
+    return cut(pptx.deck_elements(_made(spark, sf_dir, S.deck)).withColumn("doc_id", F.col("doc_id").cast("long")), "decks")
 
 
 @query(f"SELECT n AS doc_id, p::INTEGER AS page_no, part FROM {_N}, (VALUES (1, 'ppt/slides/slide2.xml'), (2, 'ppt/slides/slide1.xml')) AS v(p, part)")
