@@ -7,10 +7,10 @@ probability equal to the Jaccard similarity. 32 bands of four values, all of dif
 
 Equal sets are one class, stood for by its smallest doc_id, so copies never meet pairwise. In each
 bucket two members, drawn by a hash of bucket and document, are the hubs and are compared with every
-other. Where a bucket still holds several components after that, its members of different components are
-compared too, so no link between different texts is lost to the hubs. Where more than CROWD of them are outside the
-bucket's largest component, the members are dealt into finer buckets first, of those that share another band as well
-(a pair at similarity 0.75 shares none besides with a probability of 8e-6). Those pairs are left out whose
+other. Where a bucket still holds several components after that, its members outside the largest are
+compared with all of other components, so no link between different texts is lost to the hubs. Where more than CROWD of them are outside the
+bucket's largest component, these comparisons are found by an exact prefix join within the bucket instead, over full sets and with the rarest shingles first:
+it gives the same links, so a result never depends on how full a bucket is. Those pairs are left out whose
 sizes, or whose parities of shingles in 1024 classes, prove them too far apart (each parity
 that differs is a shingle, at least, which only one of them has).
 
@@ -27,7 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vec
@@ -36,8 +36,10 @@ from .common import components, cut, map_arrow
 SHINGLE, SIMILAR = 5, 75
 PERMUTATIONS, BAND = 64, 4
 PARITIES = 1024
-#: Most members outside a bucket's largest component that are compared with all others there.
+#: Most members outside a bucket's largest component that are compared with all others there; more are met by rare shingles. Both find all that is similar.
 CROWD = 2048
+#: Bits of the bitmap that sieves rows before they are dealt out: 1 MB.
+SIEVE = 1 << 23
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BAND_SALT = np.random.default_rng(32).integers(1, 2**63, 2 * PERMUTATIONS // BAND, dtype=np.uint64)
 
@@ -112,41 +114,88 @@ def _near_enough(pairs: DataFrame) -> DataFrame:
     return pairs.where(fits).where((100 + SIMILAR) * apart <= (100 - SIMILAR) * (F.col("n1") + F.col("n2")))
 
 
+def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Those of rows(doc_id, ...) whose doc_id is in ids(doc_id), distinct ones.
+
+    Before the exact join, which deals both sides out, rows are sieved by a bitmap of the ids' hashes; its size is fixed, whatever the input's.
+    """
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(SIEVE)) + 1
+    at = [F.bitmap_bucket_number(bit).alias("_part"), F.bitmap_bit_position(bit).cast("int").alias("_bit")]
+    sieve = ids.select(*at).groupBy("_part").agg(F.bitmap_construct_agg("_bit").alias("_map"))
+    octet = F.conv(F.hex(F.substr("_map", F.shiftright("_bit", 3) + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.select("*", *at).join(F.broadcast(sieve), "_part").where(F.getbit(octet, F.col("_bit").bitwiseAND(F.lit(7))) == 1)
+    return held.drop("_part", "_bit", "_map").join(ids, "doc_id")
+
+
+def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id, items: the full sets of those texts whose doc_id is in ids, distinct ones."""
+    return map_arrow(_among(texts, ids).select("doc_id", "text"), _sets, "doc_id long, items array<bigint>")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs(a, b) whose full sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = map_arrow(texts.join(wanted, "doc_id", "left_semi"), _sets, "doc_id long, items array<bigint>")
+    sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     both = F.size(F.array_intersect("x", "y"))
     return met.where(100 * both >= SIMILAR * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """members(key, ...) of those buckets that hold several components, with c, their component, and outside, how many aren't in the largest."""
+    """members(key, doc_id) of those buckets that hold several components, with c, their component, main, the bucket's largest, and outside, how many aren't in it."""
     at = members.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).drop("component")
     at = cut(at, "placed")
-    own = at.groupBy("key", "c").agg(F.count("*").alias("n_c")).groupBy("key").agg((F.sum("n_c") - F.max("n_c")).alias("outside")).where("outside > 0")
+    own = at.groupBy("key", "c").agg(F.count("*").alias("n_c")).groupBy("key").agg((F.sum("n_c") - F.max("n_c")).alias("outside"), F.max(F.struct("n_c", "c"))["c"].alias("main")).where("outside > 0")
     return cut(at.join(cut(own, "mixed", True), "key"), "rest", True)
 
 
-def _residual(members: DataFrame, found: DataFrame, bands: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members(key, doc_id) of one bucket and different components that may be near; bands(doc_id, keys)."""
-    side = lambda rows, i: rows.join(bits, "doc_id").select("key", *[F.col(c).alias(f"{c}{i}") for c in ("doc_id", "n", "c", "bits")])
+def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of rows(*keys, doc_id, c, main, n, ...) of equal keys and different components, each column with 1 or 2 at its end.
+
+    Those in the bucket's largest component are only met with those outside it, never with each other.
+    """
+    side = lambda i: rows.select(*keys, *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c not in keys])
+    return side(1).where("c1 <> main1").join(side(2), keys).where("c1 <> c2 and (c2 = main2 or doc_id1 < doc_id2)")
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        near = _near_enough(side(rows, 1).join(side(rows, 2), "key").where("doc_id1 < doc_id2 and c1 <> c2"))
-        return near.select(F.col("doc_id1").alias("a"), F.col("doc_id2").alias("b"))
 
+def _by_prefix(rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows(key, doc_id, c, main) of one bucket and different components: all that are similar, and some others.
+
+    Of a set of n shingles, ordered by how many of the bucket hold them, similar sets share one of the first n - ceil(0.75 n) + 1. So members
+    are met by rare shingles instead of each with each. Shingles that one member holds come first and meet nothing.
+    """
+    sets = _sets_of(texts, rows.select("doc_id").distinct()).dropDuplicates(["doc_id", "items"])
+    items = rows.join(sets, "doc_id").select("key", "doc_id", "c", "main", F.size("items").alias("n"), F.xxhash64("items").alias("which"), F.explode("items").alias("item"))
+    often = items.groupBy("key", "item").agg(F.count("*").alias("f")).where("f > 1")
+    own = Window.partitionBy("key", "doc_id", "which")
+    held = items.join(often, ["key", "item"]).withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("f", "item")))
+    least = F.floor((SIMILAR * F.col("n") + 99) / 100)
+    near = _across(held.where(F.col("place") <= F.col("n") - least + 1).select("key", "item", "doc_id", "c", "main", "n"), ["key", "item"])
+    near = near.where(100 * F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2"))
+    return near.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
+
+
+def _residual(members: DataFrame, found: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members(key, doc_id) of one bucket and different components that may be near; all that are similar are among them.
+
+    CROWD only chooses how they are found: by comparison, or in crowded buckets by rare shingles.
+    """
     rest = _mixed(members, found)
-    out = pairs(rest.where(F.col("outside") <= CROWD))
+    some = rest.where(F.col("outside") <= CROWD)
+    near = _near_enough(_across(some.join(_among(bits, some.select("doc_id").distinct()), "doc_id").drop("outside"), ["key"]))
+    out = near.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b"))
     crowded = rest.where(F.col("outside") > CROWD)
     if not crowded.isEmpty():
-        # Of two bands that a pair shares, the lesser is the bucket and the greater its part; a bucket of the lesser that isn't crowded has compared the pair.
-        finer = crowded.join(bands, "doc_id").select("doc_id", "key", F.explode(F.filter("keys", lambda k: k > F.col("key"))).alias("k"))
-        out = out.unionByName(pairs(_mixed(finer.select(F.xxhash64("key", "k").alias("key"), "doc_id"), found)))
+        out = out.unionByName(_sized(cut(_by_prefix(crowded, texts), "by-prefix", True), bits))
     return out.distinct()
 
 
+def _sized(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that sizes and parities don't prove too far apart."""
+    held = _among(bits, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    side = lambda i, key: held.select(F.col("doc_id").alias(key), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}"))
+    return _near_enough(pairs.join(side(1, "a"), "a").join(side(2, "b"), "b")).select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs(doc_id, text)."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -160,12 +209,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     hubs = members.groupBy("key").agg(F.array(F.min(drawn), F.max(drawn)).alias("hubs"), F.count("*").alias("size")).where("size > 1").select("key", "hubs")
     met = cut(members.join(hubs, "key").select("key", "doc_id", "n", "hubs"), "buckets", True)
     bits = linked.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    side = lambda i, key: bits.select(F.col("doc_id").alias(key), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}"))
     pairs = met.select("doc_id", F.explode("hubs.doc_id").alias("hub")).where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    pairs = cut(_near_enough(pairs.join(side(1, "a"), "a").join(side(2, "b"), "b")).select("a", "b").distinct(), "hub-pairs", True)
+    pairs = cut(_sized(cut(pairs, "hub-met", True), bits), "hub-pairs", True)
     links = cut(_confirmed(pairs, texts), "hub-links", True)
     found = components(links)
-    more = _residual(met.select("key", "doc_id"), found, linked.select("doc_id", "keys"), bits).join(pairs, ["a", "b"], "left_anti")
+    more = _residual(met.select("key", "doc_id"), found, bits, texts).join(pairs, ["a", "b"], "left_anti")
     more = cut(_confirmed(cut(more, "more-pairs", True), texts), "more-links", True)
     found = components(links.unionByName(more).unionByName(same))
     out = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("node"), "left")

@@ -104,6 +104,24 @@ def test_crowded_buckets(docs, monkeypatch, crowd):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(docs(rows)).collect()} == {i: find(i) for i in sets}
 
 
+@pytest.mark.parametrize("crowd", [0, 2048])
+def test_links_of_one_bucket(spark, docs, monkeypatch, crowd):
+    """Members that share one bucket and no other band: every link across components is found, however full the bucket counts as."""
+    monkeypatch.setattr(minhash, "CROWD", crowd)
+    rng = random.Random(5)
+    base = [[f"b{k}x{i}" for i in range(60)] for k in range(6)]
+    rows = [(i, " ".join(w if j < 30 + i % 28 else f"u{i}x{j}" for j, w in enumerate(rng.choice(base)))) for i in range(90)]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [t.split()]}
+    component = {i: 0 if i < 20 else i for i in sets}
+    want = {(a, b) for a in sets for b in sets if a < b and component[a] != component[b] and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert len(want) > 20
+    texts = docs(rows)
+    signed = minhash.map_arrow(texts, minhash._sign, "doc_id long, n_shingles long, digest binary, keys array<bigint>, bits array<bigint>")
+    found = spark.createDataFrame([(i, c) for i, c in component.items() if i < 20], "node long, component long")
+    pairs = minhash._residual(texts.select(F.lit(7).cast("long").alias("key"), "doc_id"), found, signed.select("doc_id", F.col("n_shingles").alias("n"), "bits"), texts)
+    assert {tuple(r) for r in minhash._confirmed(pairs, texts).collect()} == want
+
+
 def test_clashing_names(spark, docs):
     """Extra columns named as the operators' own change nothing."""
     rows = [(1, "password = abcdefgh1 licensed under the apache license version 2 0 and more words here"), (2, "password = abcdefgh1 licensed under the apache license version 2 0 and more words here"), (3, None), (None, "some text"), (4, "")]
