@@ -12,8 +12,8 @@ all but REJECTED of the rightly labelled ones reach and what all but REJECTED of
 below, or the former alone if that is the smaller. Since the former are fewer than 1 / REJECTED, it is their lowest score, or
 where a normal distribution of their logits has that quantile, if that is lower.
 
-Examples are at most PER_LANGUAGE documents of each of the LANGUAGES most frequent languages, those of the smallest
-hashes of doc_id among texts of at most EXAMPLE_BYTES; only text and language are used. Defined results:
+Examples are at most PER_LANGUAGE documents of every language, and an equal part of EXAMPLES where there are more languages than that allows: those of the smallest
+hashes of doc_id among texts of at most EXAMPLE_BYTES, or the beginnings of longer texts where a language has no others; only text and language are used. Defined results:
 null text, or text without a letter, is `und` with score 0; without a labelled example every text is `und`; a single language
 is learned as a constant; every row gets its own result, equal doc_ids too; bytes that aren't UTF-8 count as U+FFFD;
 extra columns are ignored.
@@ -36,8 +36,8 @@ from . import vec
 from .common import map_arrow
 
 UNKNOWN = "und"
-#: Most examples of a language, most languages and most bytes of an example; they bound what the driver gets.
-PER_LANGUAGE, LANGUAGES, EXAMPLE_BYTES = 600, 200, 1 << 15
+#: Most examples of a language, of all together (but one of each language at least) and most bytes of an example; they bound what the driver gets. No language is left out.
+PER_LANGUAGE, EXAMPLES, EXAMPLE_BYTES = 600, 120_000, 1 << 15
 BUCKETS, WIDTH, ORDERS = 1 << 14, 16, (2, 3, 4)
 EPOCHS, BATCH, RATE = 8, 32, 2.0
 #: Share of rightly labelled examples held back that calibration lets go, at most; and what one score may differ by rounding.
@@ -180,14 +180,16 @@ def remainder(doc_id: Column) -> Column:
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """A model of docs(doc_id, text, lang): rows whose remainder is not 2, at most per_language of each language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
-    open_ = known.where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 2).where(F.octet_length("text") <= EXAMPLE_BYTES)
-    counts = open_.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    open_ = known.where("lang is not null and text is not null and doc_id is not null").where(remainder(F.col("doc_id")) != 2).withColumn("long", F.octet_length("text") > EXAMPLE_BYTES)
+    counts = open_.groupBy("lang").agg(F.count_if(~F.col("long")).alias("short"), F.count("*").alias("n")).collect()
     if not counts:
         return train([])
+    per_language = max(1, min(per_language, EXAMPLES // len(counts)))
     # Of each language so many small hashes that the smallest per_language of them are among these: three times as many, and all where there are few.
-    share = docs.sparkSession.createDataFrame([(r.lang, min(1.0, 3 * (per_language + 100) / r.n)) for r in counts], "lang string, share double")
+    share = docs.sparkSession.createDataFrame([(r.lang, r.short == 0, min(1.0, 3 * (per_language + 100) / (r.short or r.n))) for r in counts], "lang string, only_long boolean, share double")
+    open_ = open_.withColumn("text", F.when(F.col("long"), F.substring("text", 1, EXAMPLE_BYTES // 4)).otherwise(F.col("text")))  # four bytes a character at most
     draw = (F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5).alias("draw")
-    near = open_.join(F.broadcast(share), "lang").withColumn("draw", draw).where("draw <= share")  # a row for each of LANGUAGES at most
+    near = open_.join(F.broadcast(share), "lang").where("long = only_long").withColumn("draw", draw).where("draw <= share")  # a row for each language
     first = Window.partitionBy("lang").orderBy("draw", "doc_id", "text")
     rows = near.select("lang", "doc_id", "draw", "text").distinct().withColumn("place", F.row_number().over(first)).where(F.col("place") <= per_language).select("text", "lang").collect()
     return train([(r.text, r.lang) for r in rows])

@@ -122,6 +122,14 @@ def test_links_of_one_bucket(spark, docs, monkeypatch, crowd):
     assert {tuple(r) for r in minhash._confirmed(pairs, texts).collect()} == want
 
 
+def test_every_language_is_learned(docs, spark):
+    """More languages than examples are usually shared out to, and one whose texts are all long."""
+    langs = [f"l{k:03d}" for k in range(205)]
+    rows = [(k * 10 + i, f"w{k}a{i} w{k}b w{k}c", lang) for k, lang in enumerate(langs) for i in range(10)] + [(9000 + i, "zyx " * 9000 + str(i), "zz") for i in range(10)]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.languages == [*langs, "zz"]
+
+
 def test_clashing_names(spark, docs):
     """Extra columns named as the operators' own change nothing."""
     rows = [(1, "password = abcdefgh1 licensed under the apache license version 2 0 and more words here"), (2, "password = abcdefgh1 licensed under the apache license version 2 0 and more words here"), (3, None), (None, "some text"), (4, "")]
