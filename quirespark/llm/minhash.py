@@ -6,11 +6,11 @@ probability equal to the Jaccard similarity. 32 bands of four values, all of dif
 (at similarity 0.75 all bands miss a pair with a probability of 5e-6), which are confirmed on the full sets.
 
 Equal sets are one class, stood for by its smallest doc_id, so copies never meet pairwise. In each
-bucket two members, drawn by a hash of bucket and document, are the hubs and are compared with every
+bucket two members, drawn by a hash of the document, so that buckets of the same members have the same ones, are the hubs and are compared with every
 other. Where a bucket still holds several components after that, its members outside the largest are
-compared with all of other components, so no link between different texts is lost to the hubs. Where more than CROWD of them are outside the
-bucket's largest component, these comparisons are found by an exact prefix join within the bucket instead, over full sets and with the rarest shingles first:
-it gives the same links, so a result never depends on how full a bucket is. Those pairs are left out whose
+compared with all of other components, so no link between different texts is lost to the hubs. Where that were more comparisons than the bucket's members
+have shingles, or more than CROWD are outside, the members of all such buckets go through one exact prefix join instead, over full sets and with the rarest
+shingles first: it gives the same links, so a result never depends on how full a bucket is. Those pairs are left out whose
 sizes, or whose parities of shingles in 1024 classes, prove them too far apart (each parity
 that differs is a shingle, at least, which only one of them has).
 
@@ -38,6 +38,8 @@ PERMUTATIONS, BAND = 64, 4
 PARITIES = 1024
 #: Most members outside a bucket's largest component that are compared with all others there; more are met by rare shingles. Both find all that is similar.
 CROWD = 2048
+#: Size bands of the prefix join in a factor of e.
+BANDS = 8
 #: Bits of the bitmap that sieves rows before they are dealt out: 1 MB.
 SIEVE = 1 << 23
 _MULTIPLIERS = np.random.default_rng(31).integers(1, 2**63, PERMUTATIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -127,6 +129,11 @@ def _among(rows: DataFrame, ids: DataFrame) -> DataFrame:
     return held.drop("_part", "_bit", "_map").join(ids, "doc_id")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    """doc_id: the distinct members of pairs(a, b), written, as they are read for the sieve and for the join."""
+    return cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ends", True)
+
+
 def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
     """doc_id, items: the full sets of those texts whose doc_id is in ids, distinct ones."""
     return map_arrow(_among(texts, ids).select("doc_id", "text"), _sets, "doc_id long, items array<bigint>")
@@ -134,7 +141,7 @@ def _sets_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Those pairs(a, b) whose full sets are similar enough."""
-    sets = _sets_of(texts, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    sets = _sets_of(texts, _ends(pairs))
     met = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a")
     both = F.size(F.array_intersect("x", "y"))
     return met.where(100 * both >= SIMILAR * (F.size("x") + F.size("y") - both)).select("a", "b").distinct()
@@ -148,50 +155,62 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return cut(at.join(cut(own, "mixed", True), "key"), "rest", True)
 
 
-def _across(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Pairs of rows(*keys, doc_id, c, main, n, ...) of equal keys and different components, each column with 1 or 2 at its end.
+def _across(rows: DataFrame) -> DataFrame:
+    """Pairs of rows(key, doc_id, c, main, n, ...) of equal keys and different components, each column with 1 or 2 at its end.
 
     Those in the bucket's largest component are only met with those outside it, never with each other.
     """
-    side = lambda i: rows.select(*keys, *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c not in keys])
-    return side(1).where("c1 <> main1").join(side(2), keys).where("c1 <> c2 and (c2 = main2 or doc_id1 < doc_id2)")
+    side = lambda i: rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in rows.columns if c != "key"])
+    return side(1).where("c1 <> main1").join(side(2), "key").where("c1 <> c2 and (c2 = main2 or doc_id1 < doc_id2)")
 
 
 def _by_prefix(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows(key, doc_id, c, main) of one bucket and different components: all that are similar, and some others.
+    """Pairs (a, b) of rows(doc_id, c), distinct ones, of different components: all that are similar, and some others.
 
-    Of a set of n shingles, ordered by how many of the bucket hold them, similar sets share one of the first n - ceil(0.75 n) + 1. So members
-    are met by rare shingles instead of each with each. Shingles that one member holds come first and meet nothing.
+    Of a set of n shingles, in any order that all sets share, similar sets have one of their first n - ceil(0.75 n) + 1 in common. So members
+    are met by shingles instead of each with each, those of the fewest comparisons first; shingles that one component holds meet nothing.
+    Of two similar sets the first common shingle has enough others after it in both.
     """
-    sets = _sets_of(texts, rows.select("doc_id").distinct()).dropDuplicates(["doc_id", "items"])
-    items = rows.join(sets, "doc_id").select("key", "doc_id", "c", "main", F.size("items").alias("n"), F.xxhash64("items").alias("which"), F.explode("items").alias("item"))
-    often = items.groupBy("key", "item").agg(F.count("*").alias("f")).where("f > 1")
-    own = Window.partitionBy("key", "doc_id", "which")
-    held = items.join(often, ["key", "item"]).withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("f", "item")))
-    least = F.floor((SIMILAR * F.col("n") + 99) / 100)
-    near = _across(held.where(F.col("place") <= F.col("n") - least + 1).select("key", "item", "doc_id", "c", "main", "n"), ["key", "item"])
-    near = near.where(100 * F.least("n1", "n2") >= SIMILAR * F.greatest("n1", "n2"))
+    sets = cut(_sets_of(texts, rows.select("doc_id")).dropDuplicates(["doc_id", "items"]), "crowd-sets", True)
+    items = rows.join(sets, "doc_id").select("doc_id", "c", F.size("items").alias("n"), F.xxhash64("items").alias("which"), F.explode("items").alias("item"))
+    holders, own = Window.partitionBy("item"), Window.partitionBy("doc_id", "which")
+    items = items.repartition("item").withColumn("n_c", F.count("*").over(Window.partitionBy("item", "c"))).withColumn("f", F.count("*").over(holders)).withColumn("most", F.max(F.struct("n_c", "c")).over(holders))
+    shared = items.where("f > most.n_c").withColumn("cost", F.col("f") * (F.col("f") - F.col("most.n_c"))).withColumn("main", F.col("most.c"))
+    met = shared.withColumn("alone", F.col("n") - F.count("*").over(own)).withColumn("place", F.col("alone") + F.row_number().over(own.orderBy("cost", "item")))
+    # The smaller of two sets looks, in its own size band, among larger ones; these are in the bands of all sizes that they may be similar to from this place on.
+    lowest = F.ceil(SIMILAR * F.col("n") / 100)
+    met = met.withColumn("after", F.col("n") - F.col("place") + 1).withColumn("reach", F.least("n", F.floor((100 + SIMILAR) * F.col("after") / SIMILAR) - F.col("n"))).where(F.col("reach") >= lowest)
+    met = cut(met.select("item", "doc_id", "c", "n", "after", "reach", (F.col("c") == F.col("main")).alias("within")), "prefixes", True)
+    band = lambda n: F.floor(F.log(n) * BANDS)
+    side = lambda rows, i, at: rows.select("item", *[F.col(k).alias(f"{k}{i}") for k in ("doc_id", "c", "n", "after")], at.alias("band"))
+    small = lambda rows: side(rows.where("reach = n"), 1, band(F.col("n")))
+    large = lambda rows: side(rows, 2, F.explode(F.sequence(band(lowest), band(F.col("reach")))))
+    # Those of a shingle's largest component are never met with each other.
+    near = small(met.where("not within")).join(large(met), ["item", "band"]).unionByName(small(met.where("within")).join(large(met.where("not within")), ["item", "band"]))
+    near = near.where("c1 <> c2 and (n1 < n2 or n1 = n2 and doc_id1 < doc_id2)").where((100 + SIMILAR) * F.least("after1", "after2") >= SIMILAR * (F.col("n1") + F.col("n2")))
     return near.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b")).distinct()
 
 
 def _residual(members: DataFrame, found: DataFrame, bits: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of members(key, doc_id) of one bucket and different components that may be near; all that are similar are among them.
 
-    CROWD only chooses how they are found: by comparison, or in crowded buckets by rare shingles.
+    CROWD, and the number of shingles in a bucket, only choose how they are found: by comparison, or in crowded buckets by shared shingles.
     """
     rest = _mixed(members, found)
-    some = rest.where(F.col("outside") <= CROWD)
-    near = _near_enough(_across(some.join(_among(bits, some.select("doc_id").distinct()), "doc_id").drop("outside"), ["key"]))
+    sizes = _among(bits.select("doc_id", "n"), rest.select("doc_id").distinct()).groupBy("doc_id").agg(F.min("n").alias("n"))
+    full = rest.join(sizes, "doc_id").groupBy("key").agg((F.max("outside") > F.least(F.lit(CROWD), F.floor(F.avg("n")))).alias("crowded"))
+    rest = cut(rest.drop("outside").join(full, "key"), "residual", True)
+    some = rest.where("not crowded").drop("crowded")
+    near = _near_enough(_across(some.join(_among(bits, some.select("doc_id").distinct()), "doc_id")))
     out = near.select(F.least("doc_id1", "doc_id2").alias("a"), F.greatest("doc_id1", "doc_id2").alias("b"))
-    crowded = rest.where(F.col("outside") > CROWD)
-    if not crowded.isEmpty():
-        out = out.unionByName(_sized(cut(_by_prefix(crowded, texts), "by-prefix", True), bits))
+    crowd = cut(rest.where("crowded").select("doc_id", "c").distinct(), "crowd", True)
+    if not crowd.isEmpty():
+        out = out.unionByName(_sized(cut(_by_prefix(crowd, texts), "by-prefix", True), _among(bits, crowd.select("doc_id"))))
     return out.distinct()
 
 
-def _sized(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Those of pairs(a, b) that sizes and parities don't prove too far apart."""
-    held = _among(bits, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+def _sized(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """Those of pairs(a, b) that sizes and parities don't prove too far apart; held(doc_id, n, bits) has all their members."""
     side = lambda i, key: held.select(F.col("doc_id").alias(key), F.col("n").alias(f"n{i}"), F.col("bits").alias(f"bits{i}"))
     return _near_enough(pairs.join(side(1, "a"), "a").join(side(2, "b"), "b")).select("a", "b").distinct()
 
@@ -205,12 +224,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     same = linked.select("digest", F.col("doc_id").alias("b")).join(classes, "digest").where("a <> b").select("a", "b")
     members = linked.join(classes, "digest").where("doc_id = a").groupBy("doc_id", "digest").agg(F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
     members = members.select("doc_id", F.col("n").cast("int").alias("n"), F.explode("keys").alias("key"))
-    drawn = F.struct(F.xxhash64("key", "doc_id").alias("draw"), "doc_id", "n")
+    drawn = F.struct(F.xxhash64("doc_id").alias("draw"), "doc_id", "n")
     hubs = members.groupBy("key").agg(F.array(F.min(drawn), F.max(drawn)).alias("hubs"), F.count("*").alias("size")).where("size > 1").select("key", "hubs")
     met = cut(members.join(hubs, "key").select("key", "doc_id", "n", "hubs"), "buckets", True)
     bits = linked.select("doc_id", F.col("n_shingles").alias("n"), "bits")
-    pairs = met.select("doc_id", F.explode("hubs.doc_id").alias("hub")).where("hub <> doc_id").select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
-    pairs = cut(_sized(cut(pairs, "hub-met", True), bits), "hub-pairs", True)
+    near = F.filter("hubs", lambda h: (h["doc_id"] != F.col("doc_id")) & (100 * F.least(h["n"], F.col("n")) >= SIMILAR * F.greatest(h["n"], F.col("n"))))
+    pairs = met.select("doc_id", F.explode(near["doc_id"]).alias("hub")).select(F.least("hub", "doc_id").alias("a"), F.greatest("hub", "doc_id").alias("b")).distinct()
+    pairs = cut(pairs, "hub-met", True)
+    pairs = cut(_sized(pairs, _among(bits, _ends(pairs))), "hub-pairs", True)
     links = cut(_confirmed(pairs, texts), "hub-links", True)
     found = components(links)
     more = _residual(met.select("key", "doc_id"), found, bits, texts).join(pairs, ["a", "b"], "left_anti")

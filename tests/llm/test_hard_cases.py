@@ -122,6 +122,26 @@ def test_links_of_one_bucket(spark, docs, monkeypatch, crowd):
     assert {tuple(r) for r in minhash._confirmed(pairs, texts).collect()} == want
 
 
+def test_comparisons_stay_in_proportion(spark, docs, monkeypatch):
+    """A bucket whose members share a long passage, but not enough, is not met each with each: no more comparisons than shingles, and all links."""
+    met, across = [], minhash._across
+
+    def counted(*rows):
+        met.append(across(*rows).count())
+        return across(*rows)
+
+    monkeypatch.setattr(minhash, "_across", counted)
+    rows = [(i, " ".join([f"c{k}" for k in range(30)] + [f"u{i}x{k}" for k in range(30)])) for i in range(120)]
+    rows += [(200 + i, text.rsplit(" ", 2)[0]) for i, text in rows[:20]]
+    texts = docs(rows)
+    signed = minhash.map_arrow(texts, minhash._sign, "doc_id long, n_shingles long, digest binary, keys array<bigint>, bits array<bigint>")
+    none = spark.createDataFrame([], "node long, component long")
+    pairs = minhash._residual(texts.select(F.lit(7).cast("long").alias("key"), "doc_id"), none, signed.select("doc_id", F.col("n_shingles").alias("n"), "bits"), texts)
+    assert {tuple(r) for r in minhash._confirmed(pairs, texts).collect()} == {(i, 200 + i) for i in range(20)}
+    assert sum(met) + pairs.count() <= sum(len(text.split()) - 4 for _, text in rows)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(texts).collect()} == {i: i % 200 for i, _ in rows}
+
+
 def test_every_language_is_learned(docs, spark):
     """More languages than examples are usually shared out to, and one whose texts are all long."""
     langs = [f"l{k:03d}" for k in range(205)]
