@@ -31,7 +31,7 @@ from .common import map_arrow
 
 #: Bytes of text pre-tokenised at once: more repeat within more.
 PRETOKENISED = 2 << 20
-#: Entries of a worker's cache of merged pieces, which starts anew when full, and the longest piece that stays in it.
+#: Entries of a task's cache of merged pieces, which starts anew when full, and the longest piece that stays in it.
 CACHE, KEPT = 200_000, 256
 #: Pieces longer than this are merged one by one.
 WIDE = 48
@@ -299,30 +299,33 @@ def encoder(path: str) -> Encoder:
 def _encode(name: str, with_ids: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(SparkFiles.get(name))
-        for batch in batches:
-            counts, ids, hashes, decoded = [], [], [], []
-            for lo, hi, data, at in vec.chunks(batch, size=PRETOKENISED):
-                if not len(data):
-                    texts, backs, sums, of = [], [], np.zeros(1, np.int64), np.zeros(hi - lo + 1, np.int64)
-                else:
-                    _, which, distinct, of = own.pieces(data.tobytes(), data, at)
-                    sums = np.concatenate([[0], np.cumsum(np.array([x[0] for x in distinct])[which])])
-                    order = which.tolist()
-                    says, back = [x[1] for x in distinct], [x[2] for x in distinct]
-                    texts, backs = [says[i] for i in order], [back[i] for i in order]
-                for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
-                    said = b"".join(texts[a:b])[:-1]
-                    counts.append(int(sums[b] - sums[a]))
-                    hashes.append(hashlib.sha256(said).hexdigest())
-                    decoded.append(hashlib.sha256(b"".join(backs[a:b])).hexdigest())
-                    if with_ids:
-                        ids.append(np.array(said.split(b",") if said else [], np.int32))
-            out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                out.append(pa.array(ids, pa.list_(pa.int32())))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(out, names)
+        try:
+            for batch in batches:
+                counts, ids, hashes, decoded = [], [], [], []
+                for lo, hi, data, at in vec.chunks(batch, size=PRETOKENISED):
+                    if not len(data):
+                        texts, backs, sums, of = [], [], np.zeros(1, np.int64), np.zeros(hi - lo + 1, np.int64)
+                    else:
+                        _, which, distinct, of = own.pieces(data.tobytes(), data, at)
+                        sums = np.concatenate([[0], np.cumsum(np.array([x[0] for x in distinct])[which])])
+                        order = which.tolist()
+                        says, back = [x[1] for x in distinct], [x[2] for x in distinct]
+                        texts, backs = [says[i] for i in order], [back[i] for i in order]
+                    for a, b in zip(of[:-1].tolist(), of[1:].tolist(), strict=True):
+                        said = b"".join(texts[a:b])[:-1]
+                        counts.append(int(sums[b] - sums[a]))
+                        hashes.append(hashlib.sha256(said).hexdigest())
+                        decoded.append(hashlib.sha256(b"".join(backs[a:b])).hexdigest())
+                        if with_ids:
+                            ids.append(np.array(said.split(b",") if said else [], np.int32))
+                out = [batch.column(0), pa.array(counts, pa.int64()), pa.array(hashes, pa.string()), pa.array(decoded, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    out.append(pa.array(ids, pa.list_(pa.int32())))
+                    names.append("ids")
+                yield pa.RecordBatch.from_arrays(out, names)
+        finally:
+            own.cache.clear()  # the worker may go on with other stages
 
     return encode
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,12 +43,31 @@ def cut(df: DataFrame, name: str, rebalance: bool = False) -> DataFrame:
 BATCH = 1000
 
 
+def give_back() -> None:
+    """Returns free memory to the system. Python workers outlive their tasks, and what they hold counts beside the next stages of their executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def returning(f):
+    """f, which gives free memory back when a task ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     """df.mapInArrow(f, schema) in small batches."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= BATCH:
         spark.conf.set(key, BATCH)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(returning(f), schema)
 
 
 def ascii_lower(text: Column) -> Column:

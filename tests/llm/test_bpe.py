@@ -6,9 +6,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
-from quirespark.llm import bpe
+from quirespark.llm import bpe, common
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -59,3 +60,22 @@ def test_query(spark, docs, reference):
     back = bpe.decode(bpe.encode(df, PATH), PATH).where("doc_id = 1").first()
     assert bytes(back.bytes) == b"Hello world's  end" and back.ends[-1] == len(back.bytes)
     assert bpe.encode(docs([]), PATH).count() == 0
+
+
+def test_memory_goes_back(monkeypatch):
+    """What a task has merged doesn't stay in its worker, whose memory counts beside the next stages."""
+    monkeypatch.setattr(bpe.SparkFiles, "get", lambda name: PATH)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["Hello world's  end"]})
+    assert [b.num_rows for b in bpe._encode("ranks", False)(iter([batch]))] == [1]
+    assert not bpe.encoder(PATH).cache
+
+    def held(batches):
+        for b in batches:
+            yield b
+
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.returning(held)(iter([batch]))) == [batch] and given == [1]
+    next(run := common.returning(held)(iter([batch, batch])))
+    run.close()
+    assert given == [1, 1]
