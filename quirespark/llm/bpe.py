@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 from . import vec
 from .common import map_arrow
 
-#: Bytes of text pre-tokenised at once: more repeat within more.
-PRETOKENISED = 2 << 20
+#: Bytes of text pre-tokenised at once: more repeat within more, but what a worker holds grows with it.
+PRETOKENISED = 1 << 19
 #: Entries of a task's cache of merged pieces, which starts anew when full, and the longest piece that stays in it.
-CACHE, KEPT = 200_000, 256
+CACHE, KEPT = 60_000, 256
 #: Pieces longer than this are merged one by one.
 WIDE = 48
 
